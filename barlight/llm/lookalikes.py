@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from barlight.session import written
 
@@ -20,7 +21,7 @@ ALIKE = (
     ("АВЕІЈКМНОРСТУХЅԚԜаеорсухіјѕһԁԛԝЁёЇї", "ABEIJKMHOPCTYXSQWaeopcyxijshdqwËëÏï"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳό", "ABEZHIKMNOPTYXocjó"),
     ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),
-    ("Kµ‐‑￠￡￥￦", "Kμ--¢£¥₩"),
+    ("\u212a\xb5‐‑￠￡￥￦", "Kμ--¢£¥₩"),
 )
 #: One character drawn like several.
 SEVERAL = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
@@ -33,7 +34,7 @@ _GAPS = r"[\s\p{Z}\x{85}]+"
 _UNSEEN = r"[\p{Cf}\p{Cc}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _in_order(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
