@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlight.llm.leakage import leaked_items
 from barlight.llm.lookalikes import lookalike_members, lookalike_pairs
 from barlight.llm.nearest import article_bars
+from barlight.llm.neardups import SimilarSets
 from barlight.llm.survivors import surviving_members, surviving_records
 from barlight.llm.terms import term_counts
 from barlight.llm.tokens import decoded, encoded
@@ -16,6 +17,18 @@ from barlight.sources.tables import all_bars, table
 TEXT = ["headline", "summary"]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of articles whose sets of terms are similar."""
+    pairs = SimilarSets(table(spark, folder, "articles"), "article_id", TEXT).pairs()
+    return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class, group and number of links of every article."""
+    groups = SimilarSets(table(spark, folder, "articles"), "article_id", TEXT).groups()
+    return groups.withColumnRenamed("key", "article_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms too rare or too common to be useful."""
     return term_counts(table(spark, folder, "articles"), TEXT).where(F.col("mark") != "kept").select("term", "mark")
@@ -81,7 +94,7 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_members(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "canonical", "variants")
 
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_gaps": p7_gaps}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_gaps": p7_gaps}
 QUERIES |= {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_similar": p9_similar, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 _TERMS_SQL = """
