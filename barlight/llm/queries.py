@@ -12,6 +12,7 @@ from barlight.llm.neardups import SimilarSets
 from barlight.llm.survivors import surviving_members, surviving_records
 from barlight.llm.terms import term_counts
 from barlight.llm.tokens import decoded, encoded
+from barlight.plans.sql_times import ARTICLE_TIMES
 from barlight.sources.tables import all_bars, table
 
 TEXT = ["headline", "summary"]
@@ -104,7 +105,37 @@ counts AS (SELECT term, count(*) AS occurrences, count(DISTINCT article_id) AS r
 marked AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM articles) THEN 'common' ELSE 'kept' END AS mark FROM counts)
 """
 
+_MISSING = r"regexp_replace(lower({0}), '^\s+|\s+$', '', 'g') IN ('', '-', '--', 'n/a', 'null', 'none')"
+_SURVIVORS_SQL = f"""
+WITH {ARTICLE_TIMES},
+long AS (SELECT duplicate_group_id, article_id, trust_rank, utc, unnest(['headline', 'summary', 'url', 'image_url']) AS field_name,
+  unnest([headline, summary, url, image_url]) AS v FROM art WHERE duplicate_group_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY duplicate_group_id, field_name ORDER BY trust_rank NULLS LAST, utc DESC NULLS LAST, article_id) AS rn
+  FROM long WHERE v IS NOT NULL AND NOT {_MISSING.format('v')}),
+winners AS (SELECT * FROM ranked WHERE rn = 1 AND duplicate_group_id IN (SELECT duplicate_group_id FROM articles GROUP BY 1 HAVING count(*) > 1))
+"""
+_NEAREST_SQL = f"""
+WITH {ARTICLE_TIMES},
+bars AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, trading_date ORDER BY loaded_at DESC NULLS LAST, bar_id DESC) AS rn
+  FROM (SELECT * FROM core_bars UNION ALL SELECT * FROM daily_bars)) WHERE rn = 1),
+closes AS (SELECT ticker, bar_id, epoch_us(market_close_utc) AS c FROM bars JOIN session_calendar ON session_date = trading_date),
+near AS (SELECT article_id, bar_id, epoch_us(utc) - c AS gap, row_number() OVER (PARTITION BY article_id ORDER BY abs(epoch_us(utc) - c), c) AS rn
+  FROM art JOIN closes ON ticker = provider_related AND abs(epoch_us(utc) - c) <= 72000000000)
+"""
+
+_SETS_SQL = """
+WITH sets AS (SELECT article_id, list_distinct(regexp_extract_all(lower(coalesce(headline, '') || ' ' || coalesce(summary, '')), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS w FROM articles),
+terms AS (SELECT article_id, len(w) AS n, unnest(w) AS term FROM sets WHERE len(w) >= 20),
+shared AS (SELECT a.article_id AS article_id_a, b.article_id AS article_id_b, a.n + b.n AS total, count(*) AS common
+  FROM terms AS a JOIN terms AS b ON a.term = b.term AND a.article_id < b.article_id GROUP BY 1, 2, 3)
+"""
+
 SQL = {
+    "p2_found": _SETS_SQL + "SELECT article_id_a, article_id_b FROM shared WHERE 10 * common >= 6 * (total - common)",
+    "p5_found": _SURVIVORS_SQL + "SELECT duplicate_group_id, field_name, article_id FROM winners",
+    "p5_records": _SURVIVORS_SQL + "SELECT duplicate_group_id, " + ", ".join(f"min(CASE WHEN field_name = '{f}' THEN v END) AS {f}" for f in ("headline", "summary", "url", "image_url")) + " FROM winners GROUP BY duplicate_group_id",
+    "p7_found": _NEAREST_SQL + "SELECT article_id, bar_id FROM near WHERE rn = 1",
+    "p7_gaps": _NEAREST_SQL + "SELECT article_id, bar_id, gap / 1e6 AS seconds_after FROM near WHERE rn = 1",
     "p4_found": _TERMS_SQL + "SELECT term, mark FROM marked WHERE mark <> 'kept'",
     "p4_counts": _TERMS_SQL + "SELECT term, occurrences, records, mark FROM marked",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
