@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlight.operators.packed import split_packed
 from barlight.operators.timestamps import normalised_times
 from barlight.operators.trailing import mean, trailing_totals
+from barlight.plans.sql_times import P3
 from barlight.sources.tables import all_bars, current_bars, table
 
 PACKED = ["queried_tickers", "companies_discussed", "exclusion_reason"]
@@ -76,4 +77,5 @@ SELECT ticker, CAST(d AS VARCHAR) AS cal_day, CAST(v7 AS BIGINT) AS volume_total
 SELECT ticker, CAST(d AS VARCHAR) AS cal_day, 'volume' AS measure FROM trail WHERE d >= lo + 29 AND 2 * v7 > v30
 UNION ALL
 SELECT ticker, CAST(d AS VARCHAR), 'adjusted_close' FROM trail WHERE d >= lo + 29 AND a7 > a30 * 1.1""",
+    "p3_found": P3,
 }
