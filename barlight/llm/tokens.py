@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how text is cut into pieces; merges never cross a cut.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Transitions and pieces kept by a worker; beyond, the tables start anew, which changes no result.
-KEPT = 250_000
+#: Transitions and pieces kept by a worker; beyond, a table starts anew, which changes no result.
+KEPT, PIECES_KEPT = 200_000, 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,6 +41,7 @@ class Transducer:
         self.cut = regex.compile(pieces)
         self.apart_memo: dict[tuple[int, int], bool] = {}
         self.whole_memo: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -49,7 +50,6 @@ class Transducer:
         self.flush: list[tuple[int, ...]] = []
         self.made: list[tuple[bytes, int, dict[int, tuple[int, ...]]]] = []
         self.number: dict[tuple[bytes, int], int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
         self.size = 0
         self._state(b"", -1, {0: ()})
 
@@ -88,26 +88,28 @@ class Transducer:
         """Make the transition of a state on a byte."""
         pending, last, chains = self.made[state]
         grown = pending + bytes((byte,))
-        end = len(grown)
-        new = None
+        ranks, starts, new, live = self.ranks, self.starts, None, {}
         for start, chain in chains.items():
-            token = self.ranks.get(grown[start:])
-            if token is not None and self._follows(chain[-1] if chain else last, token):
+            tail = grown[start:]
+            if new is None and (token := ranks.get(tail)) is not None and self._follows(chain[-1] if chain else last, token):
                 new = (*chain, token)
-                break
+            if tail in starts:
+                live[start] = chain
         if new is None:
             raise ValueError("the vocabulary lacks a single byte")
-        live = {s: c for s, c in chains.items() if grown[s:] in self.starts}
-        live[end] = new
-        settled = 0
-        shortest = min(live.values(), key=len)
-        while settled < len(shortest) and all(c[settled] == new[settled] for c in live.values()):
-            settled += 1
-        out = new[:settled]
-        if settled:
-            done = sum(len(self.bytes_of[t]) for t in out)
-            grown, last = grown[done:], out[-1]
-            live = {s - done: c[settled:] for s, c in live.items()}
+        if not live:  # nothing that began before can go on: all is settled
+            out, grown, last, live = new, b"", new[-1], {0: ()}
+        else:
+            live[len(grown)] = new
+            shortest = min(map(len, live.values()))
+            settled = 0
+            while settled < shortest and all(c[settled] == new[settled] for c in live.values()):
+                settled += 1
+            out = new[:settled]
+            if settled:
+                done = sum(len(self.bytes_of[t]) for t in out)
+                grown, last = grown[done:], out[-1]
+                live = {s - done: c[settled:] for s, c in live.items()}
         move = self.moves[state][byte] = (self._state(grown, last, live), out)
         self.size += 1
         return move
@@ -134,8 +136,10 @@ class Transducer:
                 if len(piece) <= 40:
                     known[piece] = got
             ids += got
-        if self.size + len(known) > KEPT:
+        if self.size > KEPT:
             self._reset()
+        if len(known) > PIECES_KEPT:
+            known.clear()
         return ids
 
 
