@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and pieces kept by a worker; beyond, a table starts anew, which changes no result.
 KEPT, PIECES_KEPT = 200_000, 400_000
+#: Above every rank.
+NEVER = 1 << 60
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,6 +43,7 @@ class Transducer:
         self.cut = regex.compile(pieces)
         self.apart_memo: dict[tuple[int, int], bool] = {}
         self.whole_memo: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, tuple[int, ...]] = {}
         self._reset()
 
@@ -50,6 +53,8 @@ class Transducer:
         self.flush: list[tuple[int, ...]] = []
         self.made: list[tuple[bytes, int, dict[int, tuple[int, ...]]]] = []
         self.number: dict[tuple[bytes, int], int] = {}
+        if len(self.apart_memo) > 4 * KEPT:
+            self.apart_memo.clear()
         self.size = 0
         self._state(b"", -1, {0: ()})
 
@@ -62,26 +67,57 @@ class Transducer:
             self.made.append((pending, last, chains))
         return n
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merges run one by one; used for pairs of tokens only."""
+    def merged(self, data: bytes, below: int = NEVER) -> list[bytes]:
+        """Parts left when all merges of a rank under ``below`` have run, one by one."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
+        """The parts that stand at an edge of a token while it is being merged: (bytes, rank at which
+        the part comes to be, rank at which it is merged into the next)."""
+        edge = self.edges[right].get(token)
+        if edge is None:
+            edge, part, end = [], self.bytes_of[token], NEVER
+            while True:
+                rank = self.ranks[part]
+                if len(part) == 1:
+                    edge.append((part, -1, end))
+                    break
+                edge.append((part, rank, end))
+                part, end = self.merged(part, rank)[-1 if right else 0], rank
+            self.edges[right][token] = edge
+        return edge
 
     def _follows(self, last: int, token: int) -> bool:
-        """Whether ``token`` can come after ``last`` (-1: first of its piece)."""
+        """Whether ``token`` can come after ``last`` (-1: first of its piece).
+
+        Ranks only grow while merging. The two stay apart unless some part at the right edge of the
+        one and some part at the left edge of the other exist together when the rank of their
+        merger comes up; of equal ranks the leftmost runs first.
+        """
         if last < 0:
             ok = self.whole_memo.get(token)
             if ok is None:
-                ok = self.whole_memo[token] = self.merged(self.bytes_of[token]) == [token]
+                ok = self.whole_memo[token] = len(self.merged(self.bytes_of[token])) == 1
             return ok
         ok = self.apart_memo.get((last, token))
         if ok is None:
-            ok = self.apart_memo[(last, token)] = self.merged(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            get = self.ranks.get
+            ok = True
+            for x, x_from, x_to in self._edge(last, True):
+                for y, y_from, y_to in self._edge(token, False):
+                    rank = get(x + y)
+                    if rank is not None and x_from < rank < x_to and y_from < rank <= y_to:
+                        ok = False
+                        break
+                if not ok:
+                    break
+            self.apart_memo[(last, token)] = ok
         return ok
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
