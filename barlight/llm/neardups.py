@@ -26,8 +26,8 @@ from barlight.llm.terms import joined_text
 from barlight.operators.components import connected_components
 from barlight.session import written
 
-#: Bits of a fingerprint.
-BITS = 256
+#: Bits of a fingerprint. More bits leave fewer candidates to compare, and longer rows to shuffle.
+BITS = 128
 #: A term of at most so many records has a shard of its own.
 RARE = 64
 #: MinHash bands and the minima in each. At similarity 0.6 a pair misses all bands with a probability
@@ -41,9 +41,17 @@ COMMON = 0.001
 #: A branch of so many records is searched without further splitting.
 LEAF = 64
 
-_OUT = pa.schema([("kind", pa.int8()), ("shard", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
-_OUT_DDL = "kind tinyint, shard bigint, a bigint, b bigint, n int, bits binary"
-_ROWS_DDL = "tier tinyint, shard bigint, key bigint, n int, bits binary"
+#: What a shard holds of a record: key, number of terms and fingerprint, packed into one value.
+_BODY = np.dtype([("key", "<i8"), ("n", "<i4"), ("bits", "<u8", BITS // 64)])
+_OUT = pa.schema([("kind", pa.int8()), ("shard", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("body", pa.binary())])
+_OUT_DDL = "kind tinyint, shard bigint, a bigint, b bigint, body binary"
+#: A shard's lowest bit tells a band (1) from a rare term (0).
+_ROWS_DDL = "shard bigint, body binary"
+
+
+def _packed(body: np.ndarray) -> pa.Array:
+    ends = np.arange(0, _BODY.itemsize * len(body) + 1, _BODY.itemsize, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body).tobytes())])
 
 
 class VantageTree:
@@ -163,16 +171,16 @@ def shard_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterato
                         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + lowest[b * ROWS + k])
                     who.append(np.arange(len(n)))
                     shard.append(h)
-            tier = np.concatenate([np.zeros(len(who[0]), np.int8), np.ones(BANDS * len(n), np.int8)])
+            shard = [(x & ~np.uint64(1)) | np.uint64(t) for x, t in zip(shard, [0] + [1] * BANDS)]
             who, shard = np.concatenate(who), np.concatenate(shard)
+            body = np.empty(len(n), _BODY)
+            body["key"], body["n"], body["bits"] = key, n, bits.view("<u8")
             for lo in range(0, len(who), 50_000):
-                w = who[lo : lo + 50_000]
-                prints = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.arange(0, 32 * len(w) + 1, 32, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bits[w]))])
-                yield pa.RecordBatch.from_arrays([pa.array(tier[lo : lo + 50_000]), pa.array(shard[lo : lo + 50_000].view(np.int64)), pa.array(key[w], pa.int64()), pa.array(n[w], pa.int32()), prints], names=["tier", "shard", "key", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lo : lo + 50_000].view(np.int64)), _packed(body[who[lo : lo + 50_000]])], names=["shard", "body"])
 
 
 class _Shards:
-    """Consumes rows sorted by tier and shard; yields candidate pairs, or rows of shards too large."""
+    """Consumes rows sorted by shard; yields candidate pairs, or rows of shards too large."""
 
     def __init__(self, least: float, limit: int) -> None:
         self.least, self.limit = least, limit
@@ -191,34 +199,33 @@ class _Shards:
         count = 0
         handed = None  # a shard known to be too large, whose rows are handed on as they come
         for batch in batches:
-            tier, shard, key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            prints = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            held.append((tier, shard, key, n, prints))
+            body = np.frombuffer(b"".join(batch.column(1).to_pylist()), _BODY)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), body))
             count += batch.num_rows
             if count >= 20_000:  # rows held at once, unless one shard needs more
                 rows = [np.concatenate(x) for x in zip(*held)]
                 if handed is not None:
-                    other = np.flatnonzero((rows[0] != 1) | (rows[1] != handed))
+                    other = np.flatnonzero(rows[0] != handed)
                     same = int(other[0]) if len(other) else len(rows[0])
                     yield from self._hand_on([x[:same] for x in rows])
                     rows = [x[same:] for x in rows]
                     handed = None if len(other) else handed
-                new = np.flatnonzero((rows[1][1:] != rows[1][:-1]) | (rows[0][1:] != rows[0][:-1])) + 1
+                new = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
                 cut = int(new[-1]) if len(new) else 0  # the last run may go on in the next batch
                 if cut:
                     yield from self._runs([x[:cut] for x in rows])
                     rows = [x[cut:] for x in rows]
-                elif rows[0][0] == 0 and len(rows[0]) > RARE:
+                elif not rows[0][0] & 1 and len(rows[0]) > RARE:
                     # a term of too many records: its first rows are enough to tell
                     rows = [x[: RARE + 1] for x in rows]
                 elif len(rows[0]) > self.limit:
                     yield from self._hand_on(rows)
-                    handed, rows = rows[1][0], [x[:0] for x in rows]
+                    handed, rows = rows[0][0], [x[:0] for x in rows]
                 held, count = [tuple(rows)], len(rows[0])
         if count:
             rows = [np.concatenate(x) for x in zip(*held)]
             if handed is not None:
-                same = (rows[0] == 1) & (rows[1] == handed)
+                same = rows[0] == handed
                 yield from self._hand_on([x[same] for x in rows])
                 rows = [x[~same] for x in rows]
             if len(rows[0]):
@@ -226,19 +233,19 @@ class _Shards:
 
     @staticmethod
     def _hand_on(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, shard, key, n, prints = rows
-        for lo in range(0, len(key), 20_000):
-            part = slice(lo, min(lo + 20_000, len(key)))
+        shard, body = rows
+        for lo in range(0, len(shard), 20_000):
+            part = slice(lo, min(lo + 20_000, len(shard)))
             m = part.stop - part.start
-            yield pa.record_batch([pa.array(np.ones(m, np.int8)), pa.array(shard[part]), pa.array(key[part]), pa.nulls(m, pa.int64()), pa.array(n[part], pa.int32()), pa.array([p.tobytes() for p in prints[part]], pa.binary())], schema=_OUT)
+            yield pa.record_batch([pa.array(np.ones(m, np.int8)), pa.array(shard[part]), pa.array(body["key"][part]), pa.nulls(m, pa.int64()), _packed(body[part])], schema=_OUT)
 
     def _runs(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tier, shard, key, n, prints = rows
-        start = np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]) | (tier[1:] != tier[:-1])) + 1])
+        shard, body = rows
+        key, prints, size = np.ascontiguousarray(body["key"]), np.ascontiguousarray(body["bits"]), body["n"].astype(np.int64)
+        start = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1])
         length = np.diff(np.concatenate([start, [len(shard)]]))
         # a term of more records than RARE is left to the bands, which hold every record
-        use = (length > 1) & ((tier[start] == 1) | (length <= RARE))
-        size = n.astype(np.int64)
+        use = (length > 1) & ((shard[start] & 1 == 1) | (length <= RARE))
         left, right = [], []
         for k in np.unique(length[use & (length <= LEAF)]).tolist():
             starts = start[use & (length == k)]
@@ -260,7 +267,7 @@ class _Shards:
             one = np.unique(np.stack([a, b], axis=1)[a < b], axis=0)
             m = len(one)
             if m:
-                yield pa.record_batch([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(one[:, 0]), pa.array(one[:, 1]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_OUT)
+                yield pa.record_batch([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(one[:, 0]), pa.array(one[:, 1]), pa.nulls(m, pa.binary())], schema=_OUT)
 
 
 class SimilarSets:
@@ -291,15 +298,15 @@ class SimilarSets:
         common = np.sort(np.array([r.t for r in often.select("t").collect()], np.int64).view(np.uint64))
         sent = sets.sparkSession.sparkContext.broadcast(common)
         rows = sets.mapInArrow(lambda batches: shard_rows(batches, sent.value), _ROWS_DDL)
-        found = rows.repartition("tier", "shard").sortWithinPartitions("tier", "shard").mapInArrow(_Shards(least, SHARD), _OUT_DDL)
+        found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_Shards(least, SHARD), _OUT_DDL)
         found = written(found, "found")
         pairs = found.where(F.col("kind") == 0).select("a", "b")
-        large = found.where(F.col("kind") == 1).select("shard", F.col("a").alias("key"), "n", "bits")
+        large = found.where(F.col("kind") == 1).select("shard", F.col("a").alias("key"), "body")
         parts = large.groupBy("shard").agg(F.ceil(F.count("key") / F.lit(SHARD)).cast("int").alias("m"))
         block = F.pmod(F.xxhash64("key"), F.col("m")).cast("int")
         split = large.join(parts, "shard").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        split = split.select(F.lit(1).cast("tinyint").alias("tier"), F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "key", "n", "bits")
-        more = split.repartition("shard").sortWithinPartitions("tier", "shard").mapInArrow(_Shards(least, 1 << 30), _OUT_DDL)
+        split = split.select(F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(1)).alias("shard"), "body")
+        more = split.repartition("shard").sortWithinPartitions("shard").mapInArrow(_Shards(least, 1 << 30), _OUT_DDL)
         return pairs.unionByName(more.select("a", "b")).distinct()
 
     @staticmethod
