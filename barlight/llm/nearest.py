@@ -17,7 +17,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, at: str, key
     Both sides hold ``entity`` and microseconds ``at``; right holds at most a few rows of an entity
     per tolerance. A pair lies at most ``tolerance`` microseconds apart, inclusive; on a tie the
     earlier right row wins, then the smaller key. Left rows with a null entity or time, and those
-    without a partner, are left out.
+    without a partner, are left out; left columns named like a result column are replaced. Repeated
+    rows each get their partner.
 
     Time is cut into buckets as wide as the tolerance. A partner lies in the same or an adjacent
     bucket; right rows are therefore put into three buckets each and gathered per entity and bucket
@@ -29,12 +30,13 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, at: str, key
     right = right.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
     near = right.select(F.col(entity).alias("_e"), F.explode(F.array(*[bucket(at) + F.lit(i) for i in (-1, 0, 1)])).alias("_b"), F.struct(F.col(at).alias("at"), F.col(key).alias("key")).alias("_c"))
     near = near.groupBy("_e", "_b").agg(F.array_sort(F.collect_list("_c")).alias("_near"))
-    rows = left.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    met = rows.join(near, (F.col(entity) == F.col("_e")) & (bucket(at) == F.col("_b")))
-    gap = lambda c: F.abs(c.getField("at") - F.col(at))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns if c not in (key, "right_at")]).alias("_row"), F.col(entity).alias("_entity"), F.col(at).alias("_at"))
+    rows = rows.where(F.col("_entity").isNotNull() & F.col("_at").isNotNull())
+    met = rows.join(near, (F.col("_entity") == F.col("_e")) & (bucket("_at") == F.col("_b")))
+    gap = lambda c: F.abs(c.getField("at") - F.col("_at"))
     ranked = F.transform(F.filter("_near", lambda c: gap(c) <= tolerance), lambda c: F.struct(gap(c).alias("gap"), c.getField("at").alias("at"), c.getField("key").alias("key")))
     best = met.withColumn("_best", F.array_min(ranked)).where(F.col("_best").isNotNull())
-    return best.select(*[F.col(c) for c in left.columns], F.col("_best.key").alias(key), F.col("_best.at").alias("right_at"))
+    return best.select("_row.*", F.col("_best.key").alias(key), F.col("_best.at").alias("right_at"))
 
 
 def article_bars(articles: DataFrame, bars: DataFrame, calendar: DataFrame, feeds: DataFrame, tolerance: int = 20 * HOUR) -> DataFrame:

@@ -30,6 +30,7 @@ def surviving_members(articles: DataFrame, feeds: DataFrame, fields: list[str] =
     per group and field already before the shuffle (WindowGroupLimit), and group sizes are
     combined before theirs, so a group that holds a third of all rows costs a few rows per task.
     """
+    articles = articles.select("duplicate_group_id", "article_id", "source", "published_at_utc", *fields)
     ranked = article_instants(articles.where(F.col("duplicate_group_id").isNotNull()), feeds)
     has = F.array(*[F.when(~missing(F.col(f)), F.lit(f)) for f in fields])
     long = ranked.select("duplicate_group_id", "article_id", "trust_rank", "published_micros", F.explode(F.filter(has, lambda f: f.isNotNull())).alias("field_name"))
