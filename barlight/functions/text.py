@@ -60,7 +60,7 @@ def word_tokens(text: Column) -> Column:
 
 def split_tags(text: Column) -> Column:
     """Items between commas or semicolons, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_distinct(items: Column, separator: str = "|") -> Column:

@@ -82,4 +82,10 @@ def word_fits(lagged: DataFrame, words: DataFrame, value: str = "next_day_close_
     are two or more days with different counts."""
     rows = lagged.join(words.select("word"), "word", "left_semi").where(F.col(value).isNotNull()).select("word", F.col("occurrences").cast("double").alias("x"), F.col(value).alias("y"))
     ok = (F.count("x") > 1) & (F.min("x") < F.max("x"))
-    return rows.groupBy("word").agg(F.count("x").alias("days"), F.when(ok, F.corr("x", "y")).alias("correlation"), F.when(ok, F.regr_slope("y", "x")).alias("slope"), F.when(ok, F.regr_intercept("y", "x")).alias("intercept"))
+    # corr() and regr_slope() raise on a constant side under ANSI rules
+    slope = F.try_divide(F.covar_pop("x", "y"), F.var_pop("x"))
+    fit = rows.groupBy("word").agg(
+        F.count("x").alias("days"), F.when(ok, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("correlation"),
+        F.when(ok, slope).alias("slope"), F.avg("x").alias("_x"), F.avg("y").alias("_y"),
+    )
+    return fit.select("word", "days", "correlation", "slope", (F.col("_y") - F.col("slope") * F.col("_x")).alias("intercept"))

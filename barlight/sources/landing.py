@@ -175,6 +175,8 @@ class _WindowReader(DataSourceReader):
         return [InputPartition(w) for w in self.windows]
 
     def read(self, partition):
+        if partition is None:  # no windows at all
+            return
         module, _, function = self.fetch.partition(":")
         ticker, first, last = partition.value
         status, body = fetch_patiently(getattr(importlib.import_module(module), function), ticker, first, last, pause=self.pause)
