@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.ids import canonical_key, stable_id
-from barlight.functions.similarity import sequence_ratio
+from barlight.functions.similarity import sequence_ratio_from
 from barlight.functions.text import blocking_tokens, headline_tokens, jaccard, normalize_text, split_tags
 from barlight.operators.components import connected_components
 from barlight.session import written
@@ -84,7 +84,7 @@ def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, t
     # a ratio of r needs lengths within r / (2 - r) of each other
     na, nb = normalize_text(F.col("ha")), normalize_text(F.col("hb"))
     open_ = both.where((F.col("jaccard") < token) & (2 * F.least(F.length(na), F.length(nb)) >= sequence * (F.length(na) + F.length(nb))))
-    rest = open_.withColumn("ratio", sequence_ratio(na, nb)).where(F.col("ratio") >= sequence).select("a", "b", "tokens", "jaccard", "ratio")
+    rest = open_.withColumn("ratio", sequence_ratio_from(na, nb, sequence)).where(F.col("ratio") >= sequence).select("a", "b", "tokens", "jaccard", "ratio")
     return sure.unionByName(rest)
 
 

@@ -13,11 +13,15 @@ from barlight.functions.text import RANKING_STOPWORDS
 from barlight.session import written
 
 
-def gram_tokens(text: Column, stop: list[str]) -> Column:
-    """Words of two or more letters or digits without stop words, and neighbouring pairs of them."""
+def grams(docs: DataFrame, key: str, text: Column, stop: list[str]) -> DataFrame:
+    """(k, term), one row per occurrence: words of two or more letters or digits without stop words,
+    and neighbouring pairs of them."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop))
-    pairs = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.try_element_at(words, i + 2).alias("n"))), lambda p: p.n.isNotNull()), lambda p: F.concat(p.w, F.lit(" "), p.n))
-    return F.concat(words, pairs)
+    # a column of its own: inside the lambda below the words would be found anew for every word
+    rows = docs.select(F.col(key).alias("k"), words.alias("w"))
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return rows.select("k", F.explode(F.concat("w", pairs)).alias("term"))
 
 
 def tfidf(docs: DataFrame, key: str, text: Column, min_df: int = 5, max_df: float = 0.9, features: int = 5000, stop: list[str] | None = None) -> DataFrame:
@@ -27,7 +31,7 @@ def tfidf(docs: DataFrame, key: str, text: Column, min_df: int = 5, max_df: floa
     ``max_df``; of these the ``features`` most frequent (ties by term), which bounds what is
     broadcast. A document without such a term has no row.
     """
-    counts = docs.select(F.col(key).alias("k"), F.explode(gram_tokens(text, stop or RANKING_STOPWORDS)).alias("term")).groupBy("k", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = grams(docs, key, text, stop or RANKING_STOPWORDS).groupBy("k", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = written(counts, "gram-counts")
     n = docs.count()
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))

@@ -30,7 +30,10 @@ def with_instant(df: DataFrame, text: str, zone: Column, into: str, ambiguous: s
     df = with_parts(df.withColumn("_zone", zone), text, F.col("day_first"), "_t")
     df = df.withColumn("_t_local", F.when(F.col("_t_has_time") & F.col("_t_instant").isNull(), F.col("_t_local")))
     df = with_utc(df, "_t_local", F.col("_zone"), "_t_utc", ambiguous, nonexistent)
-    return df.withColumn(into, F.coalesce("_t_instant", "_t_utc")).drop("_t_instant", "_t_local", "_t_has_time", "_t_utc", "_zone")
+    keep = [c for c in df.columns if c not in ("_t_instant", "_t_local", "_t_has_time", "_t_utc", "_zone", into)]
+    # through a generator: the optimizer would else trace join keys made from the instant back through
+    # every step, writing each step out at each of its uses (seconds of planning per join)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(F.coalesce("_t_instant", "_t_utc"))).alias(into))
 
 
 def with_session_date(df: DataFrame, text: str, into: str) -> DataFrame:

@@ -52,6 +52,23 @@ def test_sequence_ratio(spark):
     assert got == pytest.approx([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs])
 
 
+def test_ratio_bound_loses_nothing():
+    import random
+
+    import pandas as pd
+
+    from barlight.functions.similarity import bounded_ratio
+
+    rng = random.Random(1)
+    a = ["".join(rng.choices("abcdé 漢", k=rng.randint(0, 30))) for _ in range(300)]
+    b = [x[: len(x) // 2] + rng.choice(["", "z", "q"]) + x[len(x) // 2 :] if i % 2 else rng.choice(a) for i, x in enumerate(a)]
+    got = bounded_ratio(pd.Series(a), pd.Series(b), 0.86)
+    for x, y, g in zip(a, b, got):
+        want = difflib.SequenceMatcher(None, x, y).ratio()
+        assert g == pytest.approx(want) if want >= 0.86 else not g >= 0.86
+    assert len(bounded_ratio(pd.Series([], dtype=object), pd.Series([], dtype=object), 0.5)) == 0
+
+
 def test_request_log_and_envelopes(spark, tmp_path):
     log = [{"record_type": "request_window", "window_id": "w1", "status": "failed_x", "article_count": 0}, {"record_type": "note"}, {"record_type": "request_window", "window_id": "w1", "status": "success", "article_count": 2}, {"record_type": "request_window", "window_id": "w2", "status": "success"}]
     (tmp_path / "log.jsonl").write_text("\n\n".join(json.dumps(x) for x in log) + "\n")
