@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm.leakage import leaked_items
-from barlight.llm.lookalikes import lookalike_members, lookalike_pairs
+from barlight.llm.lookalikes import ALIKE, lookalike_members, lookalike_pairs
 from barlight.llm.nearest import article_bars
 from barlight.llm.neardups import SimilarSets
 from barlight.llm.survivors import surviving_members, surviving_records
@@ -123,6 +123,14 @@ near AS (SELECT article_id, bar_id, epoch_us(utc) - c AS gap, row_number() OVER
   FROM art JOIN closes ON ticker = provider_related AND abs(epoch_us(utc) - c) <= 72000000000)
 """
 
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_FROM = "".join(a for a, _ in ALIKE) + "ӓӧӱёӗӑїӒӦӰЁѐЀЇόὸὰΆΈΊΌΎΪΫᾺῈῸῚ" + _WIDE[0]
+_TO = "".join(b for _, b in ALIKE) + "äöÿëĕăïÄÖŸËèÈÏóòὰÁÉÍÓÝÏŸÀÈÒÌ" + _WIDE[1]
+_SEEN = "nfc_normalize(regexp_replace(text, '[\\p{Cf}\\x{FE00}-\\x{FE0F}]', '', 'g'))"
+_ALIKE_SQL = f"""
+WITH mapped AS (SELECT doc_id, text, nfc_normalize(replace(replace(replace(translate({_SEEN}, '{_FROM}', '{_TO}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...')) AS m FROM documents WHERE text IS NOT NULL),
+shown AS (SELECT doc_id, text, trim(regexp_replace(m, '[\\s\\p{{Z}}]+', ' ', 'g')) AS s FROM mapped)
+"""
 _SETS_SQL = """
 WITH sets AS (SELECT article_id, list_distinct(regexp_extract_all(lower(coalesce(headline, '') || ' ' || coalesce(summary, '')), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS w FROM articles),
 terms AS (SELECT article_id, len(w) AS n, unnest(w) AS term FROM sets WHERE len(w) >= 20),
@@ -149,4 +157,6 @@ sizes AS (SELECT DISTINCT size FROM sized),
 shown AS (SELECT DISTINCT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS k
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size))
 SELECT DISTINCT doc_id, item_id FROM shown JOIN windows USING (size, k)""",
+    "p10_found": _ALIKE_SQL + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shown AS a JOIN shown AS b ON a.s = b.s AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.s <> ''",
+    "p10_canonical": _ALIKE_SQL + ", c AS (SELECT s, min(doc_id) AS canonical, count(DISTINCT text) AS variants FROM shown WHERE s <> '' GROUP BY s HAVING count(DISTINCT text) > 1) SELECT doc_id, canonical, variants FROM shown JOIN c USING (s)",
 }
