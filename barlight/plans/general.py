@@ -69,6 +69,17 @@ trail AS (SELECT ticker, lo, d,
          w30 AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
 """
 
+#: Items by one regular expression outside lists, by the JSON reader inside them.
+_PACKED_SQL = """
+WITH long AS (SELECT article_id, unnest(['queried_tickers', 'companies_discussed', 'exclusion_reason']) AS field_name, unnest([queried_tickers, companies_discussed, exclusion_reason]) AS v FROM articles),
+cut AS (SELECT article_id, field_name, CASE WHEN v LIKE '["%"]' THEN from_json(v, '["VARCHAR"]')
+  ELSE regexp_extract_all(v, '[ ]*("(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^|;；,/+\\t\\n\\r]*?)[ ]*(?:[|;；,/+\\t\\n\\r]|$)', 1) END AS items FROM long WHERE v IS NOT NULL),
+bare AS (SELECT article_id, field_name, list_filter(list_transform(items, lambda x: trim(CASE
+  WHEN length(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN replace(x[2:-2], '""', '"')
+  WHEN length(x) > 1 AND x[1] = '''' AND x[-1] = '''' THEN x[2:-2] ELSE x END)), lambda x: x <> '') AS items FROM cut),
+placed AS (SELECT article_id, field_name, unnest(items) AS item, CAST(generate_subscripts(items, 1) AS INT) AS item_pos FROM bare)
+"""
+
 SQL = {
     "p1_totals": _TRAILING_SQL + """
 SELECT ticker, CAST(d AS VARCHAR) AS cal_day, CAST(v7 AS BIGINT) AS volume_total_7, CAST(v30 AS BIGINT) AS volume_total_30,
@@ -78,4 +89,5 @@ SELECT ticker, CAST(d AS VARCHAR) AS cal_day, 'volume' AS measure FROM trail WHE
 UNION ALL
 SELECT ticker, CAST(d AS VARCHAR), 'adjusted_close' FROM trail WHERE d >= lo + 29 AND a7 > a30 * 1.1""",
     "p3_found": P3,
+    "p6_found": _PACKED_SQL + " SELECT article_id, field_name, item_pos, item FROM placed",
 }

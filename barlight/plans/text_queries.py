@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlight.functions import ids, text, urls
 from barlight.operators import grouping, reports, rules, themes, words
 from barlight.operators.packed import split_packed
+from barlight.plans import general
 from barlight.plans import series_queries as sq
 from barlight.plans.sql_times import ARTICLE_TIMES, RAW_TIMES
 from barlight.sources import landing
@@ -411,4 +412,8 @@ SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN o ON o_custke
 g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS run FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.day = s.day))
 SELECT user_id, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM g GROUP BY user_id, run""",
     "exact_texts": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "reason_counts": general._PACKED_SQL + " SELECT item AS reason, count(*) AS rows FROM placed WHERE field_name = 'exclusion_reason' GROUP BY item",
+    "exact_group_sizes": "WITH l0 AS (SELECT obs_id, coalesce(CAST(article_id AS VARCHAR), 'o' || obs_id) AS a, coalesce(nullif(url, ''), 'o' || obs_id) AS u, obs_id AS l FROM raw_articles), "
+    + ", ".join(f"a{i} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY a) AS l FROM l{i}), l{i + 1} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY u) AS l FROM a{i})" for i in range(4))
+    + ", g AS (SELECT l, count(*) AS n FROM l4 GROUP BY l) SELECT n, count(*) AS groups FROM g GROUP BY n",
 }
