@@ -30,22 +30,23 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, measures: dict[str,
 
     Several rows of one entity and day add up. Null and non-finite values add nothing and do not
     count; the rows still extend the span of days. Rows without entity or day are left out, an
-    empty table gives no rows. One shuffle by entity serves the aggregation of the deltas and both
+    empty table gives no rows. One shuffle by entity serves the aggregation of the deltas and all
     windows; an entity's partition is bounded by its number of days, because its rows are combined
     per day before the shuffle.
     """
     rows = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
     names = list(measures)
     steps = sorted({0, *windows})
+    base = rows.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), *[_exact(m, measures[m]).alias(f"_v{i}") for i, m in enumerate(names)])
+    # combined per day before anything goes by entity alone; no shuffle if the rows already lie so
+    daily_sums = base.groupBy("_e", "_d").agg(*[x for i in range(len(names)) for x in (F.sum(f"_v{i}").alias(f"_v{i}"), F.count(f"_v{i}").alias(f"_c{i}"))])
     # one delta row per step: at the date itself, and after each window's length
-    exact = [_exact(m, measures[m]).alias(f"_v{i}") for i, m in enumerate(names)]
-    base = rows.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), *exact)
-    delta = base.select("_e", "_d", *[f"_v{i}" for i in range(len(names))], F.explode(F.array(*map(F.lit, steps))).alias("_after"))
+    delta = daily_sums.repartition("_e").withColumn("_after", F.explode(F.array(*map(F.lit, steps))))
     sums = []
-    for i, m in enumerate(names):
+    for i in range(len(names)):
         for w in windows:
             sign = F.when(F.col("_after") == 0, F.lit(1)).when(F.col("_after") == w, F.lit(-1)).otherwise(F.lit(0))
-            sums += [F.sum(F.col(f"_v{i}") * sign).alias(f"_s{i}_{w}"), F.sum(F.when(F.col(f"_v{i}").isNotNull(), sign).otherwise(F.lit(0))).alias(f"_n{i}_{w}")]
+            sums += [F.sum(F.col(f"_v{i}") * sign).alias(f"_s{i}_{w}"), F.sum(F.col(f"_c{i}") * sign).alias(f"_n{i}_{w}")]
     at = F.date_add("_d", F.col("_after"))
     # the last real day: later deltas lie outside the entity's span
     per_day = delta.groupBy("_e", at.alias("_at")).agg(*sums, F.max(F.when(F.col("_after") == 0, F.col("_d"))).alias("_real"))
