@@ -25,7 +25,7 @@ def p1_totals(spark: SparkSession, folder: str) -> DataFrame:
     return t.select(
         "ticker", F.col("trading_date").cast("string").alias("cal_day"),
         *[F.col(f"volume_total_{w}").cast("bigint").alias(f"volume_total_{w}") for w in (7, 30)],
-        *[F.round(mean("adjusted_close", w), 6).alias(f"adjusted_close_avg_{w}") for w in (7, 30)],
+        *[F.round(mean("adjusted_close", w), 9).alias(f"adjusted_close_avg_{w}") for w in (7, 30)],
     )
 
 
@@ -83,7 +83,7 @@ placed AS (SELECT article_id, field_name, unnest(items) AS item, CAST(generate_s
 SQL = {
     "p1_totals": _TRAILING_SQL + """
 SELECT ticker, CAST(d AS VARCHAR) AS cal_day, CAST(v7 AS BIGINT) AS volume_total_7, CAST(v30 AS BIGINT) AS volume_total_30,
-  round(a7, 6) AS adjusted_close_avg_7, round(a30, 6) AS adjusted_close_avg_30 FROM trail""",
+  round(a7, 9) AS adjusted_close_avg_7, round(a30, 9) AS adjusted_close_avg_30 FROM trail""",
     "p1_found": _TRAILING_SQL + """
 SELECT ticker, CAST(d AS VARCHAR) AS cal_day, 'volume' AS measure FROM trail WHERE d >= lo + 29 AND 2 * v7 > v30
 UNION ALL
