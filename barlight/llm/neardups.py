@@ -9,7 +9,7 @@ prune branches without losing a pair.
 With sets this large the distances of unrelated records lie so close together that one tree over
 everything prunes nothing. So records are first put into shards that overlap: one per rare term
 (two records sharing a term that few records hold meet there, surely), and a number of MinHash
-bands for pairs that share common terms only. Each shard is searched with a tree of its own, and
+bands over the common terms for pairs that share none but these. Each shard is searched with a tree of its own, and
 what it yields is compared exactly.
 """
 
@@ -28,16 +28,16 @@ from barlight.session import written
 
 #: Bits of a fingerprint. More bits leave fewer candidates to compare, and longer rows to shuffle.
 BITS = 128
-#: A term of at most so many records has a shard of its own.
+#: A term of at most so many records has a shard of its own; more in a collection so large that the
+#: terms above could be more than ``LISTED``, see ``SimilarSets``.
 RARE = 64
-#: MinHash bands and the minima in each. At similarity 0.6 a pair misses all bands with a probability
-#: below 0.001, and only pairs without any rare term in common depend on them.
-BANDS, ROWS = 50, 4
+#: Common terms listed at most: 8 bytes each are sent to the tasks.
+LISTED = 4_000_000
+#: Minima in each MinHash band, and the probability of missing a pair that depends on the bands, at
+#: the threshold; it falls quickly above. From them follows each record's number of bands.
+ROWS, MISSED = 4, 0.001
 #: A band's shard of more rows is split into blocks, each pair of blocks being searched apart.
 SHARD = 8192
-#: Share of the records above which a term is common; so many more terms than 1 / share times the
-#: mean number of terms can't exist, which bounds the list of common terms.
-COMMON = 0.001
 #: A branch of so many records is searched without further splitting.
 LEAF = 64
 
@@ -137,9 +137,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shard_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For batches of (key, term hashes): the rows that put each record into its shards."""
-    mul, add = _multipliers(BANDS * ROWS)
+def bands_needed(rare: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Bands after which a pair without a rare term in common is missed with ``MISSED`` at most.
+
+    All that such a pair shares is common, at least ``least`` of its joint terms; the rare terms of one
+    side are part of the joint terms, which are at most size / least. So its common terms alone are
+    similar by least / (1 - least * rare / size) or more: none if that exceeds 1. Both sides' numbers
+    suffice for the pair, so the smaller one does.
+    """
+    alike = least / (1 - least * rare / size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.ceil(np.log(MISSED) / np.log1p(-np.minimum(alike, 1 - 1e-9) ** ROWS))
+    return np.where((alike > 1 + 1e-9) | (rare == size), 0, need).astype(np.int64)
+
+
+def shard_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """For batches of (key, term hashes): the rows that put each record into its shards.
+
+    ``common`` lists the common terms in ascending order; all other terms have shards.
+    """
+    most = int(bands_needed(np.zeros(1), np.ones(1), least)[0])
+    mul, add = _multipliers(most * ROWS)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
@@ -148,7 +166,6 @@ def shard_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterato
             n = np.diff(lists.offsets.to_numpy())
             if not len(n):
                 continue
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
             doc = np.repeat(np.arange(len(n)), n)
             key = part.column(0).to_numpy(zero_copy_only=False)
             bucket = (_mix(terms) & np.uint64(BITS - 1)).astype(np.int64)
@@ -158,20 +175,20 @@ def shard_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterato
             slot = np.searchsorted(common, terms)
             slot[slot == len(common)] = 0
             rare = common[slot] != terms if len(common) else np.ones(len(terms), bool)
-            who, shard = [doc[rare]], [terms[rare]]
-            # bands
-            lowest = np.empty((BANDS * ROWS, len(n)), np.uint64)
+            who, shard = [doc[rare]], [terms[rare] & ~np.uint64(1)]
+            # bands over the common terms of the records that need them
+            need = bands_needed(np.bincount(doc[rare], minlength=len(n)), n, least)
+            use = ~rare & (need[doc] > 0)
+            own, mixed = doc[use], _mix(terms[use])
+            some, start = np.unique(own, return_index=True)
+            need = need[some]
             with np.errstate(over="ignore"):
-                mixed = _mix(terms)
-                for k in range(BANDS * ROWS):
-                    lowest[k] = np.minimum.reduceat((mixed * mul[k] + add[k]) >> np.uint64(20), start)
-                for b in range(BANDS):
-                    h = np.full(len(n), b + 1, np.uint64)
-                    for k in range(ROWS):
-                        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + lowest[b * ROWS + k])
-                    who.append(np.arange(len(n)))
-                    shard.append(h)
-            shard = [(x & ~np.uint64(1)) | np.uint64(t) for x, t in zip(shard, [0] + [1] * BANDS)]
+                for b in range(int(need.max()) if len(some) else 0):
+                    h = np.full(len(some), b + 1, np.uint64)
+                    for k in range(b * ROWS, (b + 1) * ROWS):
+                        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((mixed * mul[k] + add[k]) >> np.uint64(20), start))
+                    who.append(some[need > b])
+                    shard.append(h[need > b] | np.uint64(1))
             who, shard = np.concatenate(who), np.concatenate(shard)
             body = np.empty(len(n), _BODY)
             body["key"], body["n"], body["bits"] = key, n, bits.view("<u8")
@@ -215,9 +232,6 @@ class _Shards:
                 if cut:
                     yield from self._runs([x[:cut] for x in rows])
                     rows = [x[cut:] for x in rows]
-                elif not rows[0][0] & 1 and len(rows[0]) > RARE:
-                    # a term of too many records: its first rows are enough to tell
-                    rows = [x[: RARE + 1] for x in rows]
                 elif len(rows[0]) > self.limit:
                     yield from self._hand_on(rows)
                     handed, rows = rows[0][0], [x[:0] for x in rows]
@@ -244,8 +258,7 @@ class _Shards:
         key, prints, size = np.ascontiguousarray(body["key"]), np.ascontiguousarray(body["bits"]), body["n"].astype(np.int64)
         start = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1])
         length = np.diff(np.concatenate([start, [len(shard)]]))
-        # a term of more records than RARE is left to the bands, which hold every record
-        use = (length > 1) & ((shard[start] & 1 == 1) | (length <= RARE))
+        use = length > 1
         left, right = [], []
         for k in np.unique(length[use & (length <= LEAF)]).tolist():
             starts = start[use & (length == k)]
@@ -277,7 +290,7 @@ class SimilarSets:
     with fewer than ``fewest`` distinct terms belong to none. ``links``: (a, b, similarity) for every
     two different sets with a Jaccard similarity of at least ``least``. Copies therefore cost one row
     each, however many there are. Null columns count as empty text; an empty table gives no rows;
-    keys must be 64-bit numbers, a repeated key with one text is taken once.
+    keys must be 64-bit numbers; a repeated key is taken once, with the text of the smallest digest.
     """
 
     def __init__(self, df: DataFrame, key: str, columns: list[str], fewest: int = 20, least: float = 0.6) -> None:
@@ -285,19 +298,22 @@ class SimilarSets:
         rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), words.alias("w")).where(F.size("w") >= fewest)
         hashed = F.array_sort(F.transform("w", lambda t: F.xxhash64(t)))
         rows = written(rows.select("key", hashed.alias("terms")).withColumn("digest", F.md5(F.array_join("terms", ","))), "term-sets")
-        first = rows.groupBy("digest").agg(F.min("key").alias("set_id"))
-        self.members = written(rows.select("key", "digest").distinct().join(first, "digest").select("key", "set_id"), "members")
-        sets = rows.join(first.withColumnRenamed("set_id", "key"), ["key", "digest"], "left_semi").select("key", "terms")
-        sets = written(sets.dropDuplicates(["key"]), "sets")
+        keyed = rows.groupBy("key").agg(F.min("digest").alias("digest"))
+        first = keyed.groupBy("digest").agg(F.min("key").alias("set_id"))
+        self.members = written(keyed.join(first, "digest").select("key", "set_id"), "members")
+        # one row per set: copies are combined before the terms are shuffled
+        one = rows.groupBy("digest").agg(F.first("terms").alias("terms"))
+        sets = written(one.join(first, "digest").select(F.col("set_id").alias("key"), "terms"), "sets")
         self.links = written(self._verified(sets, self._candidates(sets, least), least), "links")
 
     @staticmethod
     def _candidates(sets: DataFrame, least: float) -> DataFrame:
-        many = sets.count()
-        often = sets.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") > max(RARE, int(COMMON * many)))
+        total = sets.agg(F.sum(F.size("terms"))).first()[0] or 0
+        rare = max(RARE, -(-total // LISTED))  # at most total / rare terms can be held by more records
+        often = sets.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") > rare)
         common = np.sort(np.array([r.t for r in often.select("t").collect()], np.int64).view(np.uint64))
         sent = sets.sparkSession.sparkContext.broadcast(common)
-        rows = sets.mapInArrow(lambda batches: shard_rows(batches, sent.value), _ROWS_DDL)
+        rows = sets.mapInArrow(lambda batches: shard_rows(batches, sent.value, least), _ROWS_DDL)
         found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_Shards(least, SHARD), _OUT_DDL)
         found = written(found, "found")
         pairs = found.where(F.col("kind") == 0).select("a", "b")

@@ -50,11 +50,13 @@ def test_similar_sets_match_brute_force(spark):
     rng = random.Random(3)
     rows = _corpus(rng, 300)
     rows += [(1000 + i, "same", " ".join(f"c{k}" for k in range(30))) for i in range(40)]  # exact copies
+    again = [(5, None, rows[5][2]), (1001, "same", " ".join(f"c{k}" for k in range(30)))]  # repeated rows
     rows += [(2000, None, None), (2001, "", ""), (2002, "short text", None), (2003, "long", " ".join(f"q{k}" for k in range(20_000)))]
-    df = spark.createDataFrame(rows, ARTICLE).withColumns({"key": F.lit(1), "terms": F.lit("x"), "a": F.lit(2)})
+    df = spark.createDataFrame(rows + again, ARTICLE).withColumns({"key": F.lit(1), "terms": F.lit("x"), "a": F.lit(2)})
     sets = SimilarSets(df, "article_id", ["headline", "summary"])
     want = _pairs(rows)
-    assert {(r.a, r.b) for r in sets.pairs().collect()} == want
+    got = [(r.a, r.b) for r in sets.pairs().collect()]
+    assert set(got) == want and len(got) == len(want)
     assert sets.links.where(F.col("a") >= 1000).count() == 0  # copies are members, not links
     group = {r.key: r.group_id for r in sets.groups().collect()}
     parent = {i: i for i in group}
@@ -72,6 +74,14 @@ def test_similar_sets_of_common_terms_only(spark, monkeypatch):
     assert {(r.a, r.b) for r in SimilarSets(df, "article_id", ["headline", "summary"]).pairs().collect()} == _pairs(rows)
 
 
+def test_bands_needed():
+    need = neardups.bands_needed(np.array([0, 10, 30, 45, 50]), np.array([50, 50, 50, 50, 50]), 0.6)
+    assert need[0] == 50 and need[0] > need[1] > need[2] > 0 and need[3] == 0 and need[4] == 0
+    for rare, n in zip((0, 10, 30), need):
+        alike = 0.6 / (1 - 0.6 * rare / 50)
+        assert (1 - alike**4) ** n <= 0.001
+
+
 def test_similar_sets_of_nothing(spark):
     s = SimilarSets(spark.createDataFrame([], ARTICLE), "article_id", ["headline", "summary"])
     assert s.pairs().count() == 0 and s.groups().count() == 0
@@ -102,16 +112,17 @@ def test_large_shards_are_handed_on():
     rng = np.random.default_rng(2)
 
     def batches():
-        body = np.zeros(9000, neardups._BODY)
-        body["key"], body["n"], body["bits"] = np.arange(9000), 60, _prints(rng, 9000, 30)
-        shard = np.concatenate([np.full(100, 2), np.full(7000, 5), np.full(1900, 9)])
-        for at in range(0, 9000, 1000):
+        n = 100 + 60_000 + 1900
+        body = np.zeros(n, neardups._BODY)
+        body["key"], body["n"], body["bits"] = np.arange(n), 60, _prints(rng, n, 30)
+        shard = np.concatenate([np.full(100, 2), np.full(60_000, 5), np.full(1900, 9)])
+        for at in range(0, n, 1000):
             yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 1000]), neardups._packed(body[at : at + 1000])], names=["shard", "body"])
 
     out = pa.Table.from_batches(list(neardups._Shards(0.6, 3000)(batches()))).to_pandas()
-    assert set(out[out.kind == 1].a) == set(range(100, 7100))
+    assert set(out[out.kind == 1].a) == set(range(100, 60_100))
     pairs = out[out.kind == 0]
-    assert len(pairs) and pairs.a.min() >= 7100  # a term of 100 records has no shard
+    assert len(pairs) and not set(pairs.a) & set(range(100, 60_100)) and set(pairs.a) & set(range(100))
 
 
 # --- term counts ------------------------------------------------------------------------------
