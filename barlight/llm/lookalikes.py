@@ -50,6 +50,15 @@ def _table() -> dict[int, str | None]:
     return table | {ord(k): v for k, v in SEVERAL.items()}
 
 
+@cache
+def _special() -> re.Pattern[str]:
+    """Anything that mapping or canonical order may change, gaps aside: most texts hold none of it."""
+    marks = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]
+    points = sorted({c for c, to in _table().items() if to != " " and c < 0x10000} | set(marks) | {0x37E, 0x1FEF, 0x212A})
+    # within the basic plane the class is a bitmap; all characters beyond it count as special
+    return re.compile("[" + "".join(f"\\u{c:04x}" for c in points) + "]|[\U00010000-\U0010ffff]")
+
+
 def shown_text(text: str) -> str:
     """The text with look-alikes mapped, gaps made one space and invisible characters removed.
 
@@ -57,8 +66,8 @@ def shown_text(text: str) -> str:
     since collation compares them in that order only. A joiner between two pictures is kept as a
     mark of its own.
     """
-    if text.isascii():
-        return " ".join(text.translate(_table()).split())
+    if not _special().search(text):
+        return " ".join(text.split())
     if "\u200d" in text:
         text = _JOINED.sub("\\1\ue000", text)
     plain = unicodedata.normalize("NFD", text).translate(_table())
@@ -75,6 +84,10 @@ def mapped(texts: pd.Series) -> pd.Series:
     return texts.map(shown_text, na_action="ignore")
 
 
+# a filter on the result would else be pushed below it and run the function a second time
+mapped = mapped.asNondeterministic()
+
+
 def _plain(shown: Column) -> Column:
     """Digest of the plain ASCII a mapped text shows: the same for all texts of a class.
 
