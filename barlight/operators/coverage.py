@@ -46,6 +46,17 @@ def coverage_days(windows: DataFrame, tickers: list[str], first: str, last: str,
     return found.select("ticker", "day", state.alias("coverage_state"))
 
 
+def reported_days(windows: DataFrame, order: list[str]) -> DataFrame:
+    """(ticker, day, coverage_state): the state of the last window that touches a day.
+
+    Windows that were split or are to be tried again say nothing. ``order`` ranks windows and should
+    end in a unique column. One aggregation with partial maxima; days are few per window.
+    """
+    rows = windows.where(~F.col("status").startswith("split_") & (F.col("status") != "transient_retry"))
+    days = rows.select("ticker", "status", *order, F.explode(F.sequence("from_date", "to_date")).alias("day"))
+    return days.groupBy("ticker", "day").agg(F.max_by("status", F.struct(*order)).alias("coverage_state"))
+
+
 def coverage_periods(days: DataFrame, good: str = "success") -> DataFrame:
     """(ticker, state, from_day, to_day, days): runs of neighbouring days in one state but ``good``.
 

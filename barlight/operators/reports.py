@@ -90,3 +90,15 @@ def evenly_spaced(rows: DataFrame, by: list[str], order: list[str], count: int)
     ranked = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": n})
     step = F.expr(f"transform(sequence(0, {count - 1}), k -> cast(bround(k * (_n - 1) / {max(1, count - 1)}) as int))")
     return ranked.where((F.col("_n") <= count) | F.array_contains(step, F.col("_i"))).drop("_i", "_n")
+
+
+def first_per_group(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first row of each group, and of these the first ``limit`` in the same order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 1).drop("_r").orderBy(*order).limit(limit)
+
+
+def sample_composition(rows: DataFrame, stratum: str, expected: int) -> DataFrame:
+    """(stratum, rows, complete): whether each stratum of a sample has the expected size."""
+    n = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("rows"))
+    return n.withColumn("complete", F.col("rows") == expected)

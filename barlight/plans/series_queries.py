@@ -195,6 +195,11 @@ def coverage_periods(spark, d):
     return coverage.coverage_periods(_days(spark, d))
 
 
+def reported_periods(spark, d):
+    """Runs of days in one state, the last window of a day deciding."""
+    return coverage.coverage_periods(coverage.reported_days(request_log(spark, d), ["to_date", "window_id"]))
+
+
 def window_verdicts(spark, d):
     """What is known about the collection over each event's lookback."""
     e = events(spark, d).where(F.col("ticker") == PRIMARY)
@@ -205,7 +210,7 @@ def window_verdicts(spark, d):
 QUERIES = {f.__name__: f for f in (
     daily_bars, move_features, bar_validation, session_gaps, missing_values, review_rows, trimmed_features, flagged_events, flag_problems, view_totals,
     lookback_match, lookback_match_by_ticker, match_summary, never_linked, pair_invariants, content_variants, timestamp_gate, prepared_status,
-    uncertain_pairs, revision_gate, latest_window_rows, coverage_days, coverage_periods, window_verdicts,
+    uncertain_pairs, revision_gate, latest_window_rows, coverage_days, coverage_periods, reported_periods, window_verdicts,
 )}
 
 BARS = """
@@ -306,6 +311,10 @@ FROM placed LEFT JOIN v USING (url) GROUP BY 1, 2""",
     "latest_window_rows": "SELECT window_id, obs_id, queried_ticker, retrieved_at_utc FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY retrieved_at_utc DESC NULLS LAST, obs_id DESC) AS rn FROM raw_articles) WHERE rn = 1",
     "coverage_days": f"WITH {_LOG} SELECT ticker, day, coverage_state FROM cover",
     "coverage_periods": f"""WITH {_LOG}, r AS (SELECT ticker, coverage_state AS state, day, day - CAST(row_number() OVER (PARTITION BY ticker, coverage_state ORDER BY day) AS INT) AS run FROM cover WHERE coverage_state <> 'success')
+SELECT ticker, state, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM r GROUP BY ticker, state, run""",
+    "reported_periods": f"""WITH {_LOG}, e AS (SELECT ticker, status, to_date, window_id, CAST(unnest(generate_series(CAST(from_date AS TIMESTAMP), CAST(to_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM stat),
+k AS (SELECT ticker, day, status AS state FROM (SELECT *, row_number() OVER (PARTITION BY ticker, day ORDER BY to_date DESC, window_id DESC) AS rn FROM e) WHERE rn = 1),
+r AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY ticker, state ORDER BY day) AS INT) AS run FROM k WHERE state <> 'success')
 SELECT ticker, state, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM r GROUP BY ticker, state, run""",
     "window_verdicts": PRIMARY_PAIRS + f""", {_LOG},
 spread AS (SELECT ticker, event_date, CAST(unnest(generate_series(date_trunc('day', timezone('UTC', lookback_start_utc)), date_trunc('day', timezone('UTC', cutoff_utc) - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS DATE) AS day FROM events_ WHERE ticker = '{PRIMARY}' AND cutoff_utc IS NOT NULL),

@@ -143,6 +143,17 @@ def stratified_sample(spark, d):
     return out.select("relevance_type", "article_id")
 
 
+def sample_composition(spark, d):
+    """Whether the sample has ten articles per relevance."""
+    return reports.sample_composition(stratified_sample(spark, d), "relevance_type", 10)
+
+
+def first_headlines(spark, d):
+    """The earliest article of each category, the first five of these."""
+    a = sq.articles(spark, d).where(F.col("published_micros").isNotNull() & F.col("event_category").isNotNull())
+    return reports.first_per_group(a, ["event_category"], ["published_micros", "article_id"], 5).select("event_category", "article_id")
+
+
 def evenly_spaced(spark, d):
     """Five articles of each category at even steps in time."""
     a = sq.articles(spark, d).where(F.col("published_micros").isNotNull())
@@ -292,7 +303,7 @@ def exact_texts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalized_texts, normalized_documents, normalized_urls, term_hits, classify, entity_tags, stable_ids, merged_observations, exact_group_sizes, headline_edges,
-    event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, stratified_sample, evenly_spaced,
+    event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, stratified_sample, sample_composition, first_headlines, evenly_spaced,
     word_freq, word_freq_daily, word_freq_local, top_words, lagged_words, word_fits, daily_mean_occurrences, asof_next_session, tfidf_weights, topic_words, topic_shares,
     category_shares, request_plan, failure_states, orders_per_customer, line_shares, price_fit, customers_without_orders, union_of_parties, idle_days, exact_texts,
 )}
@@ -385,6 +396,9 @@ UNION ALL SELECT 'ids', count(DISTINCT article_id), count(*), count(DISTINCT art
     "signals_absent": "SELECT obs_id FROM raw_articles AS r WHERE NOT EXISTS (SELECT 1 FROM articles AS a WHERE a.normalized_url = r.url)",
     "evenly_spaced": f"""WITH {ARTICLE_TIMES}, r AS (SELECT event_category, article_id, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) - 1 AS i, count(*) OVER (PARTITION BY event_category) AS n FROM art WHERE utc IS NOT NULL)
 SELECT event_category, article_id FROM r WHERE n <= 5 OR i IN (0, CAST(round_even((n - 1) / 4.0, 0) AS INT), CAST(round_even(2 * (n - 1) / 4.0, 0) AS INT), CAST(round_even(3 * (n - 1) / 4.0, 0) AS INT), n - 1)""",
+    "sample_composition": "SELECT relevance_type, CAST(least(10, count(*)) AS BIGINT) AS rows, count(*) >= 10 AS complete FROM articles WHERE relevance_type IN ('direct', 'indirect') GROUP BY 1",
+    "first_headlines": f"""WITH {ARTICLE_TIMES}, f AS (SELECT event_category, article_id, utc, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) AS rn FROM art WHERE utc IS NOT NULL AND event_category IS NOT NULL)
+SELECT event_category, article_id FROM f WHERE rn = 1 ORDER BY utc, article_id LIMIT 5""",
     "word_freq": _WORDS + " SELECT freq.*, top_event_category FROM freq JOIN lead USING (word)",
     "word_freq_daily": _WORDS + " SELECT * FROM daily",
     "word_freq_local": _WORDS + " SELECT * FROM loc",
