@@ -17,8 +17,8 @@ def parsed(name: str, source: str, dates: bool = False) -> str:
 {name}_b AS (SELECT *, CASE WHEN regexp_matches(s, ':[0-9][0-9]|[0-9]T[0-9]') THEN regexp_extract(s, '([Zz]| ?(?:UTC|[A-Z]{{3,4}})| ?[+-][0-9]{{2}}:?[0-9]{{2}})$', 1) ELSE '' END AS z FROM {name}_a),
 {name}_c AS (SELECT *, regexp_replace(trim(left(s, length(s) - length(z))), '([.][0-9]{{6}})[0-9]+$', '\\1') AS body, upper(trim(z)) AS zz FROM {name}_b),
 {name}_d AS (SELECT *,
-  CASE WHEN day_first THEN try_strptime(body, [{_FORMATS}, '%d/%m/%Y %H:%M', '%d/%m/%Y %I:%M %p', '%d.%m.%Y %H:%M'{more}{dmy[0]}])
-       ELSE try_strptime(body, [{_FORMATS}, '%m/%d/%Y %H:%M', '%m/%d/%Y %I:%M %p'{more}{dmy[1]}]) END AS wall,
+  CASE WHEN day_first THEN try_strptime(body, [{_FORMATS}, '%d/%m/%Y %H:%M', '%d/%m/%Y %I:%M %p', '%d.%m.%Y %H:%M'{dmy[0]}{more}])
+       ELSE try_strptime(body, [{_FORMATS}, '%m/%d/%Y %H:%M', '%m/%d/%Y %I:%M %p'{dmy[1]}{more}]) END AS wall,
   CASE WHEN zz = '' THEN NULL WHEN zz[1] IN ('+', '-') THEN (CASE WHEN zz[1] = '-' THEN -1 ELSE 1 END) * (CAST(zz[2:3] AS INT) * 60 + CAST(right(zz, 2) AS INT)) ELSE CASE zz {_OFFSETS} END END AS off_min
   FROM {name}_c),
 {name} AS (SELECT *,
@@ -26,7 +26,7 @@ def parsed(name: str, source: str, dates: bool = False) -> str:
        WHEN regexp_full_match(s, '[0-9]{{13}}') THEN make_timestamp(CAST(s AS BIGINT) * 1000)
        WHEN regexp_full_match(s, '[0-9]{{16}}') THEN make_timestamp(CAST(s AS BIGINT))
        WHEN zz <> '' THEN wall - to_minutes(off_min) END AS inst,
-  CASE WHEN zz = '' AND NOT regexp_full_match(s, '[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}}') AND (NOT regexp_matches(s, '^[A-Z][a-z]{{2}},? [0-9]') OR strftime(wall, '%a') = s[1:3]) THEN wall END AS local
+  CASE WHEN zz = '' AND NOT regexp_full_match(s, '[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}}') AND (NOT regexp_matches(s, '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)') OR strftime(wall, '%a') = s[1:3]) THEN wall END AS local
   FROM {name}_d)"""
 
 
