@@ -95,7 +95,7 @@ def stream_totals(spark, d):
 def stream_sessions(spark, d):
     """Runs of a user's events without a pause of six hours, from a stream."""
     s = feeds.sessions(_event_stream(spark, d), "ts", "user_id", "6 hours")
-    return _streamed(spark, s, "sessions", "complete").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
+    return _streamed(spark, s, "sessions", "complete").select("user_id", F.unix_micros("session_start").alias("session_start"), "events")
 
 
 def stream_distinct(spark, d):
@@ -175,7 +175,7 @@ SQL = {
     "stream_totals": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT user_id, min(ts) AS session_start, count(*) AS events FROM r GROUP BY user_id, run""",
+SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS events FROM r GROUP BY user_id, run""",
     "stream_distinct": "SELECT DISTINCT event_id FROM events",
     "ticker_sets": """WITH b AS (SELECT ticker FROM core_bars UNION SELECT ticker FROM daily_bars), f AS (SELECT DISTINCT ticker FROM bar_feed)
 SELECT ticker, 'bars' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM f) WHERE ticker IS NOT NULL UNION ALL SELECT ticker, 'both' FROM (SELECT * FROM b INTERSECT SELECT * FROM f) WHERE ticker IS NOT NULL

@@ -81,7 +81,7 @@ def trimmed_features(spark, d):
 
 def flagged_events(spark, d):
     """Flagged sessions with views, cutoff and lookback start."""
-    return events(spark, d).drop("interval_end_utc")
+    return events(spark, d).drop("interval_end_utc").withColumns({c: F.unix_micros(c) for c in ("cutoff_utc", "lookback_start_utc")})
 
 
 def flag_problems(spark, d):
@@ -168,7 +168,7 @@ def revision_gate(spark, d):
 def latest_window_rows(spark, d):
     """The last row of every request window."""
     raw = table(spark, d, "raw_articles")
-    return latest_per_key(raw, ["window_id"], ["retrieved_at_utc", "obs_id"], ["obs_id", "queried_ticker", "retrieved_at_utc"])
+    return latest_per_key(raw, ["window_id"], ["retrieved_at_utc", "obs_id"], ["obs_id", "queried_ticker", "retrieved_at_utc"]).withColumn("retrieved_at_utc", F.unix_micros("retrieved_at_utc"))
 
 
 def request_log(spark, d) -> DataFrame:
@@ -284,7 +284,7 @@ UNION ALL SELECT ticker, trading_date, 'not_a_session' FROM d WHERE trading_date
     "review_rows": f"""WITH {FEATS}, r AS (SELECT *, concat_ws('|', CASE WHEN dividends <> 0 THEN 'dividend' END, CASE WHEN stock_splits <> 0 THEN 'split' END, CASE WHEN abs(adjusted_close_return_1d) >= 0.10 THEN 'large_return' END) AS review_reason FROM feats)
 SELECT ticker, trading_date, dividends, stock_splits, review_reason FROM r WHERE review_reason <> ''""",
     "trimmed_features": f"WITH {FEATS} SELECT ticker, trading_date, price_move_1pct, price_move_5pct, round(daily_return_volatility_20d, 6) AS volatility FROM feats WHERE trading_date BETWEEN DATE '2025-10-01' AND DATE '2026-05-15'",
-    "flagged_events": f"WITH {EVENTS} SELECT * FROM events_",
+    "flagged_events": f"WITH {EVENTS} SELECT * REPLACE (epoch_us(cutoff_utc) AS cutoff_utc, epoch_us(lookback_start_utc) AS lookback_start_utc) FROM events_",
     "flag_problems": "SELECT unnest(['unexpected_price_move_1pct', 'unexpected_price_move_5pct', 'repeated_dates']) AS problem, CAST(0 AS BIGINT) AS rows",
     "view_totals": f"""WITH {EVENTS}, c AS (SELECT ticker, CAST(sum(shift_1pct_up) AS BIGINT) AS "1pct_up", CAST(sum(shift_1pct_down) AS BIGINT) AS "1pct_down", CAST(sum(shift_5pct_up) AS BIGINT) AS "5pct_up", CAST(sum(shift_5pct_down) AS BIGINT) AS "5pct_down",
   CAST(sum(shift_1pct_up * shift_5pct_up) AS BIGINT) AS both_up, CAST(sum(shift_1pct_down * shift_5pct_down) AS BIGINT) AS both_down FROM events_ GROUP BY ticker)
@@ -308,7 +308,7 @@ v AS (SELECT url, count(DISTINCT {'h': headline, 's': summary, 'd': "datetime"})
 SELECT ticker, event_date, count(*) FILTER (retrieved_at_utc IS NULL OR retrieved_at_utc >= cutoff_utc OR coalesce(variants, 1) > 1) AS uncertain, count(*) FILTER (coalesce(variants, 1) > 1) AS with_variants
 FROM placed LEFT JOIN v USING (url) GROUP BY 1, 2""",
     "revision_gate": PRIMARY_PAIRS + " SELECT event_date, article_id, CASE WHEN retrieved_at_utc >= cutoff_utc THEN 'revised_after_cutoff' END AS exclusion FROM placed",
-    "latest_window_rows": "SELECT window_id, obs_id, queried_ticker, retrieved_at_utc FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY retrieved_at_utc DESC NULLS LAST, obs_id DESC) AS rn FROM raw_articles) WHERE rn = 1",
+    "latest_window_rows": "SELECT window_id, obs_id, queried_ticker, epoch_us(retrieved_at_utc) AS retrieved_at_utc FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY retrieved_at_utc DESC NULLS LAST, obs_id DESC) AS rn FROM raw_articles) WHERE rn = 1",
     "coverage_days": f"WITH {_LOG} SELECT ticker, day, coverage_state FROM cover",
     "coverage_periods": f"""WITH {_LOG}, r AS (SELECT ticker, coverage_state AS state, day, day - CAST(row_number() OVER (PARTITION BY ticker, coverage_state ORDER BY day) AS INT) AS run FROM cover WHERE coverage_state <> 'success')
 SELECT ticker, state, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM r GROUP BY ticker, state, run""",
