@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and pieces kept by a worker; beyond, a table starts anew, which changes no result.
 KEPT, PIECES_KEPT = 200_000, 400_000
+#: Characters from which a text's pieces are taken one by one.
+LONG = 1_000_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -124,26 +127,38 @@ class Transducer:
         """Make the transition of a state on a byte."""
         pending, last, chains = self.made[state]
         grown = pending + bytes((byte,))
-        ranks, starts, new, live = self.ranks, self.starts, None, {}
+        ranks, starts, apart, new, live, shortest = self.ranks, self.starts, self.apart_memo, None, {}, NEVER
         for start, chain in chains.items():
             tail = grown[start:]
-            if new is None and (token := ranks.get(tail)) is not None and self._follows(chain[-1] if chain else last, token):
-                new = (*chain, token)
+            if new is None and (token := ranks.get(tail)) is not None:
+                before = chain[-1] if chain else last
+                ok = apart.get((before, token))
+                if ok or (ok is None and self._follows(before, token)):
+                    new = (*chain, token)
             if tail in starts:
                 live[start] = chain
+                if len(chain) < shortest:
+                    shortest = len(chain)
         if new is None:
             raise ValueError("the vocabulary lacks a single byte")
+        out = ()
         if not live:  # nothing that began before can go on: all is settled
             out, grown, last, live = new, b"", new[-1], {0: ()}
         else:
             live[len(grown)] = new
-            shortest = min(map(len, live.values()))
             settled = 0
-            while settled < shortest and all(c[settled] == new[settled] for c in live.values()):
-                settled += 1
-            out = new[:settled]
+            while settled < shortest:
+                token = new[settled]
+                for chain in live.values():
+                    if chain[settled] != token:
+                        break
+                else:
+                    settled += 1
+                    continue
+                break
             if settled:
-                done = sum(len(self.bytes_of[t]) for t in out)
+                out = new[:settled]
+                done = sum([len(self.bytes_of[t]) for t in out])
                 grown, last = grown[done:], out[-1]
                 live = {s - done: c[settled:] for s, c in live.items()}
         move = self.moves[state][byte] = (self._state(grown, last, live), out)
@@ -164,8 +179,9 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         known = self.known
-        for m in self.cut.finditer(text):
-            piece = m.group()
+        # a list of all pieces is faster than one match at a time, unless it would be long
+        pieces = self.cut.findall(text) if len(text) < LONG else (m.group() for m in self.cut.finditer(text))
+        for piece in pieces:
             got = known.get(piece)
             if got is None:
                 got = self.piece(piece.encode("utf-8"))
@@ -227,7 +243,13 @@ def encoded(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [t.encode(x) if x else [] for x in part.column(1).to_pylist()]
+                # the tables are many small objects without cycles: the collector would only walk them
+                gc.disable()
+                try:
+                    ids = [t.encode(x) if x else [] for x in part.column(1).to_pylist()]
+                finally:
+                    gc.freeze()
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")
