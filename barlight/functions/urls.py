@@ -36,5 +36,5 @@ def normalize_url(url: Column) -> Column:
     pairs = F.transform(fields, lambda x: F.struct(_recoded(F.substring_index(x, "=", 1)).alias("k"), _recoded(F.regexp_extract(x, "=(.*)$", 1)).alias("v")))
     kept = F.filter(pairs, lambda p: ~(F.lower(p.k).startswith("utm_") | F.lower(p.k).isin(TRACKING_KEYS)))
     tail = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p.k, F.lit("="), p.v)), "&")
-    full = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.when(host == "", F.lit(":")).otherwise(F.lit("://")), shown, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
+    full = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.when((host == "") & ~path.startswith("/"), F.lit(":")).otherwise(F.lit("://")), shown, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
     return F.when(text == "", "").otherwise(full)

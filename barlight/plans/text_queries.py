@@ -367,6 +367,13 @@ r AS (SELECT article_id, term, (ln(tf) + 1) * (ln((1.0 + n) / (1.0 + df)) + 1) A
 SQL = {
     "normalized_texts": f"SELECT article_id, {_norm('headline')} AS norm, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM articles",
     "normalized_documents": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
+    "normalized_urls": f"""WITH a AS (SELECT obs_id, trim(coalesce(url, '')) AS u FROM raw_articles),
+b AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS sch, regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '#.*$', '') AS rest FROM a),
+c AS (SELECT *, lower(regexp_extract(rest, '^//([^/?]*)', 1)) AS host, regexp_replace(rest, '^//[^/?]*', '') AS after FROM b),
+d AS (SELECT *, regexp_replace(host, ':(80|443)$', '') AS h, regexp_replace(regexp_extract(after, '^([^?]*)', 1), '/+', '/', 'g') AS p0,
+  list_sort(list_filter(string_split(regexp_extract(after, '[?](.*)$', 1), '&'), lambda x: contains(x, '=') AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains({_list(urls.TRACKING_KEYS)}, lower(split_part(x, '=', 1))))) AS q FROM c),
+e AS (SELECT *, CASE WHEN p0 IN ('', '/') THEN '/' ELSE rtrim(p0, '/') END AS p FROM d)
+SELECT obs_id, CASE WHEN u = '' THEN '' ELSE (CASE WHEN sch = '' THEN 'https' ELSE sch END) || (CASE WHEN h = '' AND p[1] <> '/' THEN ':' ELSE '://' END) || h || p || (CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END) END AS url FROM e""",
     "term_hits": f"WITH {_NORMED} SELECT article_id, concat_ws('|', {', '.join(f'CASE WHEN {_has("t", [x])} THEN {chr(39)}{x}{chr(39)} END' for x in rules.DEFAULT.direct_terms + rules.DEFAULT.categories['trade'])}) AS hits FROM n",
     "classify": _classify_sql(),
     "entity_tags": f"""WITH {_NORMED} SELECT article_id, array_to_string(list_sort(list_distinct(list_concat(

@@ -17,7 +17,7 @@ from barlight.streaming import feeds
 URLS = {
     "HTTPS://Example.COM/a/story/?utm_source=x&b=2&a=1#section": "https://example.com/a/story?a=1&b=2",
     "http://example.com:80//a//b/": "http://example.com/a/b", "https://example.com:8443": "https://example.com:8443/", "": "", None: "",
-    "https://e.com/p?ref=1&q=a%20b&fbclid=9&empty=": "https://e.com/p?empty=&q=a+b", "//e.com/x": "https://e.com/x", " https://e.com/~a?x=~*": "https://e.com/~a?x=~%2A",
+    "https://e.com/p?ref=1&q=a%20b&fbclid=9&empty=": "https://e.com/p?empty=&q=a+b", "//e.com/x": "https://e.com/x", "/x//y/": "https:///x/y", "n/a": "https:n/a", " https://e.com/~a?x=~*": "https://e.com/~a?x=~%2A",
 }
 
 
