@@ -140,6 +140,12 @@ shared AS (SELECT a.article_id AS article_id_a, b.article_id AS article_id_b, a.
 
 SQL = {
     "p2_found": _SETS_SQL + "SELECT article_id_a, article_id_b FROM shared WHERE 10 * common >= 6 * (total - common)",
+    "p2_groups": _SETS_SQL.split("terms AS")[0].replace("WITH sets", "WITH RECURSIVE sets") + """own AS (SELECT article_id, w, min(article_id) OVER (PARTITION BY list_sort(w)) AS set_id FROM sets WHERE len(w) >= 20),
+terms AS (SELECT set_id, len(w) AS n, unnest(w) AS term FROM own WHERE article_id = set_id),
+shared AS (SELECT a.set_id AS x, b.set_id AS y, a.n + b.n AS total, count(*) AS common FROM terms AS a JOIN terms AS b ON a.term = b.term AND a.set_id <> b.set_id GROUP BY 1, 2, 3),
+edges AS (SELECT x, y FROM shared WHERE 10 * common >= 6 * (total - common)),
+reach AS (SELECT DISTINCT set_id AS x, set_id AS y FROM own UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y)
+SELECT article_id, set_id, (SELECT min(y) FROM reach WHERE x = set_id) AS group_id, (SELECT count(*) FROM edges WHERE x = set_id) AS links FROM own""",
     "p5_found": _SURVIVORS_SQL + "SELECT duplicate_group_id, field_name, article_id FROM winners",
     "p5_records": _SURVIVORS_SQL + "SELECT duplicate_group_id, " + ", ".join(f"min(CASE WHEN field_name = '{f}' THEN v END) AS {f}" for f in ("headline", "summary", "url", "image_url")) + " FROM winners GROUP BY duplicate_group_id",
     "p7_found": _NEAREST_SQL + "SELECT article_id, bar_id FROM near WHERE rn = 1",
