@@ -74,6 +74,18 @@ def test_similar_sets_of_common_terms_only(spark, monkeypatch):
     assert {(r.a, r.b) for r in SimilarSets(df, "article_id", ["headline", "summary"]).pairs().collect()} == _pairs(rows)
 
 
+def test_shards_too_large_are_searched_in_blocks(spark, monkeypatch):
+    """Records of one boilerplate meet in bands of more rows than a shard may hold."""
+    monkeypatch.setattr(neardups, "SHARD", 70)
+    rng = random.Random(6)
+    words = [f"b{i}" for i in range(40)]
+    rows = [(i, None, " ".join(rng.sample(words, rng.randint(30, 40)) + [f"only{i}"])) for i in range(220)]
+    df = spark.createDataFrame(rows, ARTICLE)
+    got = [(r.a, r.b) for r in SimilarSets(df, "article_id", ["headline", "summary"]).pairs().collect()]
+    want = _pairs(rows)
+    assert len(want) > 5000 and set(got) == want and len(got) == len(want)
+
+
 def test_bands_needed():
     need = neardups.bands_needed(np.array([0, 10, 30, 45, 50]), np.array([50, 50, 50, 50, 50]), 0.6)
     assert need[0] == 50 and need[0] > need[1] > need[2] > 0 and need[3] == 0 and need[4] == 0
