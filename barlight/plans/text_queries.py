@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import ids, text, urls
@@ -10,7 +10,7 @@ from barlight.operators import grouping, reports, rules, themes, words
 from barlight.operators.packed import split_packed
 from barlight.plans import general
 from barlight.plans import series_queries as sq
-from barlight.plans.sql_times import ARTICLE_TIMES, RAW_TIMES
+from barlight.plans.sql_times import ARTICLE_TIMES
 from barlight.sources import landing
 from barlight.sources.tables import latest_per_key, table
 
@@ -403,6 +403,15 @@ UNION ALL SELECT 'ids', count(DISTINCT article_id), count(*), count(DISTINCT art
     "signals_absent": "SELECT obs_id FROM raw_articles AS r WHERE NOT EXISTS (SELECT 1 FROM articles AS a WHERE a.normalized_url = r.url)",
     "evenly_spaced": f"""WITH {ARTICLE_TIMES}, r AS (SELECT event_category, article_id, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) - 1 AS i, count(*) OVER (PARTITION BY event_category) AS n FROM art WHERE utc IS NOT NULL)
 SELECT event_category, article_id FROM r WHERE n <= 5 OR i IN (0, CAST(round_even((n - 1) / 4.0, 0) AS INT), CAST(round_even(2 * (n - 1) / 4.0, 0) AS INT), CAST(round_even(3 * (n - 1) / 4.0, 0) AS INT), n - 1)""",
+    "failure_states": """SELECT * FROM (VALUES (401, '', 'unavailable_auth_or_plan'), (403, '', 'unavailable_auth_or_plan'), (429, '', 'failed_rate_limited'), (500, '', 'failed_server_error'),
+  (404, '', 'failed_client_error'), (NULL, 'timeout', 'failed_timeout'), (NULL, NULL, 'failed_unknown')) AS t(http_status, error_kind, state)""",
+    "stratified_sample": f"""WITH {ARTICLE_TIMES}, s AS (SELECT relevance_type AS g, article_id AS id, list_position(['trade', 'deals', 'supply', 'product', 'finance'], event_category) AS c, coalesce(strftime(utc, '%Y-%m'), 'unknown') AS m,
+  row_number() OVER (ORDER BY CAST(coalesce(summary, '') <> '' AS INT) DESC, length(coalesce(summary, '')) DESC, utc DESC NULLS LAST, article_id) AS q FROM art WHERE relevance_type IN ('direct', 'indirect')),
+one AS (SELECT g, id, 1 AS stage, lpad(CAST(c AS VARCHAR), 9, '0') AS at_, q FROM (SELECT *, row_number() OVER (PARTITION BY g, c ORDER BY q) AS r FROM s WHERE c > 0) WHERE r = 1),
+two AS (SELECT g, id, 2 AS stage, m AS at_, q FROM (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY q) AS r FROM s WHERE id NOT IN (SELECT id FROM one)) WHERE r = 1),
+three AS (SELECT g, id, 3 AS stage, '' AS at_, q FROM s WHERE id NOT IN (SELECT id FROM one) AND id NOT IN (SELECT id FROM two)),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY stage, at_, q) AS r FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three))
+SELECT g AS relevance_type, id AS article_id FROM p WHERE r <= 10""",
     "sample_composition": "SELECT relevance_type, CAST(least(10, count(*)) AS BIGINT) AS rows, count(*) >= 10 AS complete FROM articles WHERE relevance_type IN ('direct', 'indirect') GROUP BY 1",
     "first_headlines": f"""WITH {ARTICLE_TIMES}, f AS (SELECT event_category, article_id, utc, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) AS rn FROM art WHERE utc IS NOT NULL AND event_category IS NOT NULL)
 SELECT event_category, article_id FROM f WHERE rn = 1 ORDER BY utc, article_id LIMIT 5""",
