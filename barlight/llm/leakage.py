@@ -24,6 +24,8 @@ WORD = re.compile(r"[^\W_]+")
 PASS_CHARS = 8_000_000
 #: Words of documents handled at once; a longer text is cut into overlapping parts.
 PART = 20_000
+#: Candidates gathered at once, and compared at once.
+BLOCK, STEP = 1_000_000, 20_000
 #: Weight of a word and of a pair of neighbouring words.
 ONE, TWO = 1, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +127,92 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return (x & y).total() / (x | y).total()
 
 
-def _indexes(items: list[tuple[int, str]], window: int, radius: int) -> list[Windows]:
+def losses(size: int, least: float) -> int:
+    """The greatest weight that a window of ``size`` words can lose at a similarity of ``least``."""
+    whole = size * ONE + (size - 1) * TWO
+    return next(x for x in range(whole, -1, -1) if (whole - x) / (whole + x) >= least)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value of a row."""
+    return np.stack([(x[:, :j] == x[:, j : j + 1]).sum(axis=1) for j in range(x.shape[1])], axis=1) if x.shape[1] else np.zeros(x.shape, np.int64)
+
+
+def _row_pairs(x: np.ndarray) -> np.ndarray:
+    """The neighbouring pairs of each row."""
+    n, m = x.shape
+    flat = _pairs(x.ravel()) if x.size > 1 else np.zeros(0, np.uint64)
+    return np.append(flat, np.uint64(0)).reshape(n, m)[:, : m - 1] if n else np.zeros((0, m - 1), np.uint64)
+
+
+class SimilarWindows:
+    """The windows of one size, found by shingles that a similar window can't all lack.
+
+    A window that keeps the similarity loses at most ``losses`` in weight, so at most that over
+    ``TWO`` pairs. One pair more of each window, the rarest among all windows, goes to the table;
+    where a window hasn't so many pairs, words take their place. No similar window is missed.
+    """
+
+    def __init__(self, size: int, rows: np.ndarray, items: np.ndarray, least: float) -> None:
+        self.size, self.rows, self.items, self.least = size, rows, items, least
+        self.pairs = _row_pairs(rows)
+        self.word_ranks, self.pair_ranks = _ranks(rows), _ranks(self.pairs)
+        lost = losses(size, least)
+        self.span = 2 if lost // TWO < size - 1 else 1
+        shingles, need = (self.pairs, lost // TWO + 1) if self.span == 2 else (rows, min(lost // ONE, size - 1) + 1)
+        values, back, count = np.unique(shingles, return_inverse=True, return_counts=True)
+        rarest = np.argsort(count[back.reshape(shingles.shape)], axis=1, kind="stable")[:, :need]
+        key = np.take_along_axis(shingles, rarest, axis=1).ravel()
+        window = np.repeat(np.arange(len(rows)), need)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.start, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.windows = window[order]
+        self.there = np.zeros(1 << 16, bool)
+        self.there[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def near(self, h: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All (position in h, window, similarity) of at least ``least``, each once, in blocks."""
+        shingles = _pairs(h) if self.span == 2 else h
+        at = np.flatnonzero(self.there[(shingles & np.uint64(0xFFFF)).astype(np.int64)])
+        slot = np.searchsorted(self.keys, shingles[at])
+        slot[slot == len(self.keys)] = 0
+        hit = self.keys[slot] == shingles[at]
+        at, slot = at[hit], slot[hit]
+        fan = self.count[slot] * (self.size - self.span + 1)
+        ends = np.cumsum(fan)
+        lo = 0
+        while lo < len(at):
+            # a block ends at a shingle, its last windows may come again in the next: best of both is kept
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, side="right")))
+            yield from self._verified(h, part, at[lo:hi], slot[lo:hi])
+            lo = hi
+
+    def _verified(self, h: np.ndarray, part: np.ndarray, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        many = self.count[slot]
+        before = np.cumsum(many) - many
+        window = self.windows[np.repeat(self.start[slot] - before, many) + np.arange(many.sum())]
+        back = np.arange(self.size - self.span + 1)
+        p = (np.repeat(at, many)[:, None] - back).ravel()
+        w = np.repeat(window, len(back))
+        ok = (p >= 0) & (p + self.size <= len(h))
+        p, w = p[ok], w[ok]
+        ok = part[p] == part[p + self.size - 1]  # a window doesn't run over into the next text
+        both = np.unique(p[ok].astype(np.int64) * len(self.rows) + w[ok])
+        p, w = both // len(self.rows), both % len(self.rows)
+        whole = self.size * ONE + (self.size - 1) * TWO
+        for k in range(0, len(p), STEP):
+            a, b = p[k : k + STEP], w[k : k + STEP]
+            mine = h[a[:, None] + np.arange(self.size)]
+            # a repeated shingle counts as often as both hold it
+            shared = ((self.rows[b][:, :, None] == mine[:, None, :]).sum(axis=2) > self.word_ranks[b]).sum(axis=1) * ONE
+            if self.size > 1:
+                shared += ((self.pairs[b][:, :, None] == _row_pairs(mine)[:, None, :]).sum(axis=2) > self.pair_ranks[b]).sum(axis=1) * TWO
+            s = shared / (2 * whole - shared)
+            good = s >= self.least
+            yield a[good], b[good], s[good]
+
+
+def _indexes(items: list[tuple[int, str]], window: int, radius: int, least: float = 1.0) -> list[Windows | SimilarWindows]:
     words, by_size = Words(), {}
     for item, text in items:
         h = words(text)
@@ -134,16 +221,18 @@ def _indexes(items: list[tuple[int, str]], window: int, radius: int) -> list[Win
             rows = by_size.setdefault(size, {})
             for at in range(len(h) - size + 1):
                 rows[(h[at : at + size].tobytes(), item)] = None
-    return [Windows(s, np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, s), np.array([r[1] for r in rows], np.int64), radius) for s, rows in by_size.items()]
+    made = [(s, np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, s), np.array([r[1] for r in rows], np.int64)) for s, rows in by_size.items()]
+    return [Windows(*x, radius) if least >= 1 else SimilarWindows(*x, least) for x in made]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", window: int = 12, radius: int = 3, least: float = 0.8) -> DataFrame:
     """(doc, item, similarity, verbatim) for every document and item with a similar window.
 
     A window is ``window`` consecutive words, or all words of a shorter item. ``similarity`` is the
-    best weighted shingle similarity of the two, at least ``least``, among windows whose SimHashes
-    differ in at most ``radius`` bits; identical windows always do. ``verbatim`` tells whether a
-    window occurs word for word. Texts that are null or have no word match nothing; repeated ids
+    best weighted shingle similarity of the two, at least ``least`` (above 0). Below 1 the candidates
+    come from ``SimilarWindows``, which misses none; at 1 only windows that occur word for word are
+    found, among those whose SimHashes differ in at most ``radius`` bits, as identical windows always
+    do. ``verbatim`` tells whether a window occurs word for word. Texts that are null or have no word match nothing; repeated ids
     give one row; an empty table gives none.
 
     Documents are neither shuffled nor collected; only the found pairs are made distinct. The items
@@ -152,6 +241,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, te
     """
     if not 0 <= radius <= 15:
         raise ValueError("radius must lie between 0 and 15")
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     sc = documents.sparkSession.sparkContext
     asked = items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t"))
     passes = max(1, -(-int(asked.agg(F.sum(F.length("t"))).first()[0] or 0) // PASS_CHARS))
@@ -162,17 +253,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, te
         sent = sc.broadcast([(r.i, r.t) for r in part.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            indexes = _indexes(sent.value, window, radius)
+            indexes = _indexes(sent.value, window, radius, least)
             words = Words()
             for batch in batches:
-                yield from _scan(batch, indexes, words, window, least, doc, item)
+                yield from _scan(batch, indexes, words, window, doc, item)
 
         got = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(doc, text).mapInArrow(run, f"`{doc}` {kind}, `{item}` bigint, similarity double, verbatim boolean")
         out = got if out is None else out.unionByName(got)
     return out.groupBy(doc, item).agg(F.max("similarity").alias("similarity"), F.max("verbatim").alias("verbatim"))
 
 
-def _scan(batch: pa.RecordBatch, indexes: list[Windows], words: Words, window: int, least: float, doc: str, item: str) -> Iterator[pa.RecordBatch]:
+def _scan(batch: pa.RecordBatch, indexes: list[Windows | SimilarWindows], words: Words, window: int, doc: str, item: str) -> Iterator[pa.RecordBatch]:
     pieces: list[tuple[int, np.ndarray]] = []
     held = 0
     best: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -182,24 +273,25 @@ def _scan(batch: pa.RecordBatch, indexes: list[Windows], words: Words, window: i
         h = np.concatenate([p for _, p in pieces])
         owner = np.repeat(np.array([r for r, _ in pieces]), [len(p) for _, p in pieces])
         part = np.repeat(np.arange(len(pieces)), [len(p) for _, p in pieces])
-        sums = Sums(h)
+        sums = Sums(h) if any(isinstance(ix, Windows) for ix in indexes) else None
         for ix in indexes:
             if len(h) < ix.size:
                 continue
+            if isinstance(ix, SimilarWindows):
+                for at, win, likes in ix.near(h, part):
+                    same = (h[at[:, None] + np.arange(ix.size)] == ix.rows[win]).all(axis=1)
+                    for r, i, s, v in zip(owner[at].tolist(), ix.items[win].tolist(), likes.tolist(), same.tolist()):
+                        had = best.get((r, i), (0.0, False))
+                        best[(r, i)] = (max(had[0], s), had[1] or v)
+                continue
             at, win = ix.near(sums.fingerprints(ix.size))
             inside = part[at] == part[at + ix.size - 1]  # a window doesn't run over into the next text
             at, win = at[inside], win[inside]
             same = np.ones(len(at), bool)
             for j in range(ix.size):
                 same &= h[at + j] == ix.rows[win, j]
-            rows, its = owner[at], ix.items[win]
-            for r, i in set(zip(rows[same].tolist(), its[same].tolist())):
+            for r, i in set(zip(owner[at][same].tolist(), ix.items[win][same].tolist())):
                 best[(r, i)] = (1.0, True)
-            if least < 1:
-                for p, w, r, i in zip(at[~same].tolist(), win[~same].tolist(), rows[~same].tolist(), its[~same].tolist()):
-                    had = best.get((r, i), (0.0, False))
-                    if had[0] < 1 and (s := similarity(h[p : p + ix.size], ix.rows[w])) >= least and s > had[0]:
-                        best[(r, i)] = (s, had[1])
         pieces.clear()
         held = 0
 

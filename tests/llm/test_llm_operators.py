@@ -304,6 +304,60 @@ def test_leaks_match_brute_force(spark):
     assert leaked_items(ddf.limit(0), idf.limit(0), "doc_id", "item_id").count() == 0
 
 
+def _brute_similar(docs, items, window, least):
+    from barlight.llm.leakage import Words
+
+    words, best = Words(), {}
+    for d, t in docs:
+        have = words(t)
+        for i, x in items:
+            w = words(x)
+            n = min(window, len(w))
+            for a in range(len(have) - n + 1 if n else 0):
+                for b in range(len(w) - n + 1):
+                    s = similarity(have[a : a + n], w[b : b + n])
+                    if s >= least:
+                        best[(d, i)] = max(best.get((d, i), 0), s)
+    return best
+
+
+@pytest.mark.parametrize(("least", "window"), [(0.8, 12), (0.5, 12), (0.3, 5), (0.05, 4)])
+def test_similar_passages_match_brute_force(spark, monkeypatch, least, window):
+    from barlight.llm import leakage
+
+    monkeypatch.setattr(leakage, "BLOCK", 500)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 4, 9, 12, 14, 20])))) for i in range(16)]
+    docs = []
+    for d in range(40):
+        body = rng.choices(words, k=rng.randint(0, 20))
+        cut = rng.choice(items)[1].split()[:12]
+        edit = rng.choice(["first", "last", "inner", "swap", "none"])
+        if edit == "swap":
+            cut = cut[len(cut) // 2 :] + cut[: len(cut) // 2]
+        elif edit != "none":
+            cut[{"first": 0, "last": -1, "inner": len(cut) // 2}[edit]] = "changed"
+        docs.append((d, " ".join(body + cut + rng.choices(words, k=rng.randint(0, 9)))))
+    ddf, idf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = _brute_similar(docs, items, window, least)
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaked_items(ddf, idf, "doc_id", "item_id", window=window, least=least).collect()}
+    assert got == pytest.approx(want) and set(got) == set(want)
+
+
+def test_p9_similar_finds_items_with_an_edge_word_changed(spark, tmp_path):
+    from barlight.llm.queries import p9_similar
+
+    rng = random.Random(6)
+    items = [(i, " ".join(f"i{i}x{rng.randint(0, 10**6)}" for _ in range(12))) for i in range(50)]
+    docs = [(i, "lead " + " ".join(["changed", *t.split()[1:]] if i % 2 else [*t.split()[:-1], "changed"]) + " tail") for i, t in items]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = p9_similar(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(50)]
+    assert all(r.similarity == pytest.approx(31 / 37) and not r.verbatim for r in got)
+
+
 def test_leaks_in_several_passes_and_parts(spark, monkeypatch):
     from barlight.llm import leakage
 
