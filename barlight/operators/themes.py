@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +48,14 @@ class Topics:
 
     The topics' term weights (``topics`` x at most ``features`` numbers) are held by the driver and
     sent to the tasks; documents stay where they are. Each round a task finds its documents' weights
-    and returns two sums whose size doesn't depend on the number of documents.
+    and returns two sums whose size doesn't depend on the number of documents; with them the driver
+    updates the term weights ``inner`` times as well, which needs no further pass. Rounds end when
+    the error falls by less than the share ``tolerance`` in each of ten rounds in a row, or after
+    ``rounds``. A single round isn't enough: errors stay on a level and fall again later.
+    ``errors`` has the error of each round.
     """
 
-    def __init__(self, weights: DataFrame, key: str, topics: int = 8, rounds: int = 25, inner: int = 15, seed: int = 42) -> None:
+    def __init__(self, weights: DataFrame, key: str, topics: int = 8, rounds: int = 500, inner: int = 15, seed: int = 42, tolerance: float = 1e-8) -> None:
         names = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]  # at most ``features``
         self.key, self.terms, self.inner = key, names, inner
         place = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, i int") if names else None
@@ -65,41 +70,55 @@ class Topics:
         for _ in range(rounds):
             a, b, error = self._sums()
             self.errors.append(error)
-            self.h *= a / (b @ self.h + 1e-12)
+            for _ in range(inner):
+                self.h *= a / (b @ self.h + 1e-12)
+            last = np.array(self.errors[-11:])
+            if len(last) == 11 and (np.abs(np.diff(last)) < tolerance * last[:-1]).all():
+                break
 
     def _solver(self):
-        h, inner = self.h, self.inner
-        hh = h @ h.T
+        h, inner = np.ascontiguousarray(self.h.T), self.inner
+        hh = h.T @ h
 
-        def solve(i: np.ndarray, x: np.ndarray) -> np.ndarray:
-            top = h[:, i] @ x
-            w = np.full(len(h), 1.0 / len(h))
+        def solve(start: np.ndarray, i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Weights of all documents of a batch, and their products with the topics. No document is empty."""
+            top = np.add.reduceat(h[i] * x[:, None], start, axis=0)
+            w = np.full(top.shape, 1.0 / h.shape[1])
             for _ in range(inner):
-                w *= top / (hh @ w + 1e-12)
-            return w
+                w *= top / (w @ hh + 1e-12)
+            return w, top
 
         return solve
 
+    @staticmethod
+    def _vectors(i: pa.ListArray, x: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each document starts, and the places and weights of all."""
+        size = pc.list_value_length(i).to_numpy()
+        return np.cumsum(size) - size, i.flatten().to_numpy(), x.flatten().to_numpy()
+
     def _sums(self) -> tuple[np.ndarray, np.ndarray, float]:
         solve, k, m = self._solver(), *self.h.shape
-        h = self.h
+        hh, vectors = self.h @ self.h.T, self._vectors
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, error = np.zeros((k, m)), np.zeros((k, k)), 0.0
             for batch in batches:
-                for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    i, x = np.array(i), np.array(x)
-                    w = solve(i, x)
-                    a[:, i] += np.outer(w, x)
-                    b += np.outer(w, w)
-                    fit = w @ h
-                    error += float(x @ x - 2 * fit[i] @ x + fit @ fit)
+                if not len(batch):
+                    continue
+                start, i, x = vectors(batch.column(0), batch.column(1))
+                w, top = solve(start, i, x)
+                size = np.diff(np.append(start, len(i)))
+                for t in range(k):
+                    a[t] += np.bincount(i, np.repeat(w[:, t], size) * x, m)
+                own = w.T @ w
+                b += own
+                error += float(x @ x - 2 * (w * top).sum() + (own * hh).sum())
             flat = np.concatenate([a.ravel(), b.ravel(), [error]])
             yield pa.record_batch([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "value"])
 
         total = np.zeros(k * m + k * k + 1)
-        for r in self.docs.select("i", "x").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("v")).collect():
-            total[r["at"]] = r["v"]
+        sums = self.docs.select("i", "x").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("v")).toArrow()
+        total[sums["at"].to_numpy()] = sums["v"].to_numpy()
         return total[: k * m].reshape(k, m), total[k * m : -1].reshape(k, k), float(total[-1])
 
     def top_words(self, count: int = 15) -> list[tuple[int, int, str, float]]:
@@ -112,11 +131,13 @@ class Topics:
 
     def document_topics(self) -> DataFrame:
         """(key, weights, dominant_topic) of every document with a term."""
-        solve, key = self._solver(), self.key
+        solve, key, vectors = self._solver(), self.key, self._vectors
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = [solve(np.array(i), np.array(x)).tolist() for i, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                if not len(batch):
+                    continue
+                w = solve(*vectors(batch.column(1), batch.column(2)))[0].tolist()
                 yield pa.record_batch([batch.column(0), pa.array(w, pa.list_(pa.float64()))], names=[key, "weights"])
 
         kind = self.docs.schema[key].dataType.simpleString()

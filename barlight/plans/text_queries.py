@@ -228,13 +228,13 @@ def tfidf_weights(spark, d):
 
 def topic_words(spark, d):
     """The leading words of each topic."""
-    t = themes.Topics(_doc_weights(spark, d), "article_id", rounds=15)
+    t = themes.Topics(_doc_weights(spark, d), "article_id")
     return spark.createDataFrame(t.top_words(), "topic int, rank int, word string, weight double")
 
 
 def topic_shares(spark, d):
     """Share of each topic in the events of a direction."""
-    t = themes.Topics(_doc_weights(spark, d), "article_id", rounds=15).document_topics().select("article_id", "dominant_topic")
+    t = themes.Topics(_doc_weights(spark, d), "article_id").document_topics().select("article_id", "dominant_topic")
     p = themes.directions(sq.primary_pairs(spark, d).where(F.col("excluded") == "false")).join(t, "article_id")
     return themes.group_shares(p, "dominant_topic").select("direction", "dominant_topic", "events", F.round("mean_article_share", 6).alias("mean_article_share"), "total_article_matches")
 

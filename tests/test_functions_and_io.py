@@ -166,6 +166,19 @@ def test_topics(spark):
     assert themes.Topics(w.limit(0), "id").top_words() == []
 
 
+def test_topic_queries_run_until_the_fit_stands(spark, tiny, monkeypatch):
+    from barlight.plans import text_queries as tq
+
+    fits, topics = [], themes.Topics
+    monkeypatch.setattr(tq.themes, "Topics", lambda *a, **k: fits.append(topics(*a, **k)) or fits[-1])
+    got = {(r.topic, r.word) for r in tq.topic_words(spark, tiny).collect()}
+    e = np.array(fits[0].errors)
+    assert len(e) == 500 or (np.abs(np.diff(e[-11:])) < 1e-8 * e[-11:-1]).all()
+    longer = topics(tq._doc_weights(spark, tiny), "article_id", rounds=len(e) + 100, tolerance=0)
+    assert len(longer.errors) == len(e) + 100
+    assert len({(t, w) for t, _, w, _ in longer.top_words()} & got) >= 0.95 * len(got)
+
+
 def _stream(spark, path, df):
     df.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
