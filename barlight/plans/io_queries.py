@@ -151,13 +151,18 @@ def input_rows(spark, d):
 
 
 def chart_points(spark, d):
-    """Price points of every ticker for a chart."""
+    """Price points of every configured ticker for a chart."""
     return sinks.chart_points(sq.bars(spark, d), "trading_date", "adjusted_close", "ticker")
 
 
+def all_chart_points(spark, d):
+    """Price points of every ticker for a chart."""
+    return sinks.chart_points(sq.bars(spark, d, whole=True), "trading_date", "adjusted_close", "ticker")
+
+
 QUERIES = {f.__name__: f for f in (
     envelope_articles, request_log_latest, text_table, view_files, stream_totals, stream_sessions, stream_distinct, ticker_sets, ticker_subset,
-    scalar_functions, state_texts, headline_ratios, provenance, input_rows, chart_points,
+    scalar_functions, state_texts, headline_ratios, provenance, input_rows, chart_points, all_chart_points,
 )}
 
 _TRIMMED = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
@@ -188,3 +193,4 @@ UNION ALL SELECT ticker, 'feed' FROM (SELECT * FROM f EXCEPT SELECT * FROM b) WH
     "input_rows": _COUNTS,
     "chart_points": f"WITH {sq.BARS} SELECT ticker AS series, trading_date AS x, adjusted_close AS y FROM bars WHERE adjusted_close IS NOT NULL",
 }
+SQL["all_chart_points"] = sq.over_all(SQL["chart_points"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,23 +11,24 @@ from barlight.functions.temporal import with_parts
 from barlight.operators import coverage, matching, series, sessions
 from barlight.operators.timestamps import article_instants, with_feed
 from barlight.plans.sql_times import ARTICLE_TIMES, parsed
-from barlight.sources.tables import current_bars, latest_per_key, table
+from barlight.sources.tables import all_bars, current_bars, latest_per_key, table
 
 #: The ticker whose events are matched with the whole of the news; a parameter of the analysis.
 PRIMARY = "QVLT"
 _BAR = ["bar_id", "open_price", "high_price", "low_price", "close_price", "adjusted_close", "volume", "dividends", "stock_splits"]
 
 
-def bars(spark: SparkSession, d: str) -> DataFrame:
-    return current_bars(table(spark, d, "core_bars"), _BAR)
+def bars(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Current bars of the configured tickers, with ``whole`` of all tickers of both tables."""
+    return current_bars(all_bars(spark, d) if whole else table(spark, d, "core_bars"), _BAR)
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    return series.with_features(bars(spark, d))
+def features(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return series.with_features(bars(spark, d, whole))
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.flagged_events(features(spark, d), table(spark, d, "session_calendar"))
+def events(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return sessions.flagged_events(features(spark, d, whole), table(spark, d, "session_calendar"))
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -40,14 +43,14 @@ def primary_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.lookback_match(events(spark, d).where(F.col("ticker") == PRIMARY), relevant(spark, d).drop("ticker"), "published_micros")
 
 
-def daily_bars(spark, d):
-    """The current bar of every ticker and date."""
-    return bars(spark, d)
+def daily_bars(spark, d, whole=False):
+    """The current bar of every configured ticker and date."""
+    return bars(spark, d, whole)
 
 
-def move_features(spark, d):
+def move_features(spark, d, whole=False):
     """Returns, rolling statistics, movement flags and their lags."""
-    f = features(spark, d)
+    f = features(spark, d, whole)
     flags = ["price_move_5pct", "price_move_1pct"]
     numbers = [x for x in series.FEATURES if x not in flags]
     out = [(F.round(c, 6) + 0.0).alias(c) for x in numbers for c in (x, f"{x}_lag1_session")] + [F.col(c) for x in flags for c in (x, f"{x}_lag1_session")]
@@ -64,14 +67,14 @@ def session_gaps(spark, d):
     return series.session_gaps(table(spark, d, "core_bars").unionByName(table(spark, d, "daily_bars")), table(spark, d, "session_calendar"))
 
 
-def missing_values(spark, d):
+def missing_values(spark, d, whole=False):
     """Nulls and NaNs per column of the bars."""
-    return series.missing_values(bars(spark, d), [*series.PRICES, "volume"])
+    return series.missing_values(bars(spark, d, whole), [*series.PRICES, "volume"])
 
 
-def review_rows(spark, d):
+def review_rows(spark, d, whole=False):
     """Corporate actions and large one-day returns."""
-    return series.unusual_rows(features(spark, d)).select("ticker", "trading_date", "dividends", "stock_splits", "review_reason")
+    return series.unusual_rows(features(spark, d, whole)).select("ticker", "trading_date", "dividends", "stock_splits", "review_reason")
 
 
 def trimmed_features(spark, d):
@@ -79,9 +82,9 @@ def trimmed_features(spark, d):
     return series.trimmed(features(spark, d), "2025-10-01", "2026-05-15").select("ticker", "trading_date", "price_move_1pct", "price_move_5pct", F.round("daily_return_volatility_20d", 6).alias("volatility"))
 
 
-def flagged_events(spark, d):
+def flagged_events(spark, d, whole=False):
     """Flagged sessions with views, cutoff and lookback start."""
-    return events(spark, d).drop("interval_end_utc").withColumns({c: F.unix_micros(c) for c in ("cutoff_utc", "lookback_start_utc")})
+    return events(spark, d, whole).drop("interval_end_utc").withColumns({c: F.unix_micros(c) for c in ("cutoff_utc", "lookback_start_utc")})
 
 
 def flag_problems(spark, d):
@@ -89,9 +92,9 @@ def flag_problems(spark, d):
     return sessions.flag_problems(features(spark, d))
 
 
-def view_totals(spark, d):
+def view_totals(spark, d, whole=False):
     """Events per view and their overlaps."""
-    return sessions.view_totals(events(spark, d))
+    return sessions.view_totals(events(spark, d, whole))
 
 
 def _pair_columns(p: DataFrame) -> DataFrame:
@@ -103,9 +106,9 @@ def lookback_match(spark, d):
     return _pair_columns(primary_pairs(spark, d))
 
 
-def lookback_match_by_ticker(spark, d):
-    """Every ticker's flagged sessions with the articles that are tagged with the same ticker."""
-    return _pair_columns(matching.lookback_match(events(spark, d), relevant(spark, d), "published_micros", on={"ticker": "provider_related"}))
+def lookback_match_by_ticker(spark, d, whole=False):
+    """Every configured ticker's flagged sessions with the articles that are tagged with the same ticker."""
+    return _pair_columns(matching.lookback_match(events(spark, d, whole), relevant(spark, d), "published_micros", on={"ticker": "provider_related"}))
 
 
 def match_summary(spark, d):
@@ -212,6 +215,9 @@ QUERIES = {f.__name__: f for f in (
     lookback_match, lookback_match_by_ticker, match_summary, never_linked, pair_invariants, content_variants, timestamp_gate, prepared_status,
     uncertain_pairs, revision_gate, latest_window_rows, coverage_days, coverage_periods, reported_periods, window_verdicts,
 )}
+#: The same over the bars of all tickers, those of the growing table included.
+_WHOLE = (daily_bars, move_features, missing_values, review_rows, flagged_events, view_totals, lookback_match_by_ticker)
+QUERIES |= {f"all_{f.__name__}": partial(f, whole=True) for f in _WHOLE}
 
 BARS = """
 bars AS (SELECT * EXCLUDE (rn, loaded_at) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, trading_date ORDER BY loaded_at DESC NULLS LAST, bar_id DESC) AS rn
@@ -262,6 +268,13 @@ _LAGS = ", ".join(
 )
 _ALL = "(SELECT * FROM core_bars UNION ALL SELECT * FROM daily_bars)"
 
+
+def over_all(sql: str) -> str:
+    """The SQL of a query over the configured tickers, over all tickers."""
+    return sql.replace("FROM core_bars", f"FROM {_ALL}")
+
+
+
 SQL = {
     "daily_bars": f"WITH {BARS} SELECT * FROM bars",
     "move_features": f"WITH {FEATS} SELECT ticker, trading_date, {_LAGS} FROM feats WINDOW w AS (PARTITION BY ticker ORDER BY trading_date)",
@@ -325,3 +338,4 @@ SELECT e.ticker, e.event_date, coalesce(n, 0) AS article_count_7d, CAST(g IS NUL
   CASE WHEN coalesce(n, 0) > 0 THEN 'has_matches' WHEN g IS NOT NULL THEN 'zero_matches_with_coverage_gap' ELSE 'zero_matches_in_verified_windows' END AS zero_match_interpretation
 FROM events_ AS e LEFT JOIN n ON n.ticker = e.ticker AND n.event_date = e.event_date LEFT JOIN iss ON iss.ticker = e.ticker AND iss.event_date = e.event_date WHERE e.ticker = '{PRIMARY}'""",
 }
+SQL |= {f"all_{f.__name__}": over_all(SQL[f.__name__]) for f in _WHOLE}

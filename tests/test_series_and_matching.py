@@ -202,3 +202,16 @@ def test_next_session_and_word_fits(spark):
     lagged = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2), ("a", 3, 0.3), ("b", 5, 0.1), ("b", 5, 0.2), ("c", 1, None)], "word string, occurrences bigint, r double")
     fits = {x.word: x for x in words.word_fits(lagged, lagged.select("word").distinct(), "r").collect()}
     assert fits["a"].correlation == pytest.approx(1) and fits["a"].slope == pytest.approx(0.1) and fits["b"].slope is None and "c" not in fits
+
+
+def test_queries_over_all_tickers_read_the_growing_table(spark, tiny):
+    from barlight.plans.catalogue import QUERIES
+    from barlight.sources.tables import table
+
+    wide = {r.ticker for r in table(spark, tiny, "daily_bars").where("ticker is not null and trading_date is not null").select("ticker").distinct().collect()}
+    core = {r.ticker for r in table(spark, tiny, "core_bars").where("ticker is not null and trading_date is not null").select("ticker").distinct().collect()}
+    assert wide and not wide & core
+    for name, column in (("all_daily_bars", "ticker"), ("all_move_features", "ticker"), ("all_chart_points", "series")):
+        assert {r[0] for r in QUERIES[name](spark, tiny).select(column).distinct().collect()} == wide | core, name
+    flagged = {r.ticker for r in QUERIES["all_flagged_events"](spark, tiny).select("ticker").distinct().collect()}
+    assert flagged & wide
