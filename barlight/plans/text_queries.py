@@ -246,10 +246,15 @@ def category_shares(spark, d):
 
 
 def request_plan(spark, d):
-    """Weekly request windows of the configured tickers."""
+    """Weekly request windows of two of the configured tickers."""
     return landing.request_windows(spark, ["QVLT", "MNEX"], "2025-10-01", "2026-05-01", 7)
 
 
+def all_request_plan(spark, d):
+    """Weekly request windows of all configured tickers."""
+    return landing.request_windows(spark, sq._TICKERS, "2025-10-01", "2026-05-01", 7)
+
+
 def failure_states(spark, d):
     """State recorded for each kind of failed answer."""
     codes = spark.createDataFrame([(401, ""), (403, ""), (429, ""), (500, ""), (404, ""), (None, "timeout"), (None, None)], "http_status int, error_kind string")
@@ -305,7 +310,7 @@ QUERIES = {f.__name__: f for f in (
     normalized_texts, normalized_documents, normalized_urls, term_hits, classify, entity_tags, stable_ids, merged_observations, exact_group_sizes, headline_edges,
     event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, stratified_sample, sample_composition, first_headlines, evenly_spaced,
     word_freq, word_freq_daily, word_freq_local, top_words, lagged_words, word_fits, daily_mean_occurrences, asof_next_session, tfidf_weights, topic_words, topic_shares,
-    category_shares, request_plan, failure_states, orders_per_customer, line_shares, price_fit, customers_without_orders, union_of_parties, idle_days, exact_texts,
+    category_shares, request_plan, all_request_plan, failure_states, orders_per_customer, line_shares, price_fit, customers_without_orders, union_of_parties, idle_days, exact_texts,
 )}
 
 
@@ -447,3 +452,4 @@ SELECT user_id, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM
     + ", ".join(f"a{i} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY a) AS l FROM l{i}), l{i + 1} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY u) AS l FROM a{i})" for i in range(4))
     + ", g AS (SELECT l, count(*) AS n FROM l4 GROUP BY l) SELECT n, count(*) AS groups FROM g GROUP BY n",
 }
+SQL["all_request_plan"] = SQL["request_plan"].replace("['QVLT', 'MNEX']", "[" + ", ".join(f"'{t}'" for t in sq._TICKERS) + "]")

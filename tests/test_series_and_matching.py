@@ -215,3 +215,11 @@ def test_queries_over_all_tickers_read_the_growing_table(spark, tiny):
         assert {r[0] for r in QUERIES[name](spark, tiny).select(column).distinct().collect()} == wide | core, name
     flagged = {r.ticker for r in QUERIES["all_flagged_events"](spark, tiny).select("ticker").distinct().collect()}
     assert flagged & wide
+
+
+def test_request_plan_of_all_configured_tickers(spark, tiny):
+    from barlight.plans.catalogue import QUERIES
+    from barlight.plans.series_queries import _TICKERS
+
+    got = {r["ticker"]: r["count"] for r in QUERIES["all_request_plan"](spark, tiny).groupBy("ticker").count().collect()}
+    assert got == dict.fromkeys(_TICKERS, 31)
