@@ -48,16 +48,42 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Removes the shuffle files of a query when it ends; where the engine doesn't know it, it changes nothing.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    It cuts the lineage, survives the loss of executors and keeps columns compressed. The files go
-    when the application ends.
+    It cuts the lineage, survives the loss of executors and keeps columns compressed. Once the table
+    stands nothing reads the shuffle files that led to it, so they are removed. The table goes with
+    ``discard``, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+    target = _path(spark, path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = _path(spark, table.written_to)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
