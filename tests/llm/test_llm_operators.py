@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barlight.llm import neardups
 from barlight.llm.leakage import leaked_items, similarity
 from barlight.llm.lookalikes import lookalike_members, lookalike_pairs, shown_text
-from barlight.llm.neardups import SimilarSets, VantageTree
+from barlight.llm.neardups import SimilarSets, VantageForest
 from barlight.llm.nearest import HOUR, article_bars, nearest_in_time
 from barlight.llm.survivors import surviving_members, surviving_records
 from barlight.llm.terms import term_counts
@@ -66,17 +66,18 @@ def test_similar_sets_match_brute_force(spark):
     assert group == parent
 
 
-def test_similar_sets_of_common_terms_only(spark, monkeypatch):
-    """Pairs that share no rare term meet in the bands."""
-    monkeypatch.setattr(neardups, "RARE", 3)
+def test_similar_sets_of_common_terms_only(spark):
+    """Pairs that share no rare term meet in the shards of common ones."""
     rows = _corpus(random.Random(4), 250, common_only=True)
     df = spark.createDataFrame(rows, ARTICLE)
     assert {(r.a, r.b) for r in SimilarSets(df, "article_id", ["headline", "summary"]).pairs().collect()} == _pairs(rows)
 
 
-def test_shards_too_large_are_searched_in_blocks(spark, monkeypatch):
-    """Records of one boilerplate meet in bands of more rows than a shard may hold."""
+@pytest.mark.parametrize("terms", [1, 2, 4])
+def test_shards_too_large(spark, monkeypatch, terms):
+    """Records of one boilerplate: shards of further shared terms take over, and blocks where none is left."""
     monkeypatch.setattr(neardups, "SHARD", 70)
+    monkeypatch.setattr(neardups, "TERMS", terms)
     rng = random.Random(6)
     words = [f"b{i}" for i in range(40)]
     rows = [(i, None, " ".join(rng.sample(words, rng.randint(30, 40)) + [f"only{i}"])) for i in range(220)]
@@ -86,12 +87,52 @@ def test_shards_too_large_are_searched_in_blocks(spark, monkeypatch):
     assert len(want) > 5000 and set(got) == want and len(got) == len(want)
 
 
-def test_bands_needed():
-    need = neardups.bands_needed(np.array([0, 10, 30, 45, 50]), np.array([50, 50, 50, 50, 50]), 0.6)
-    assert need[0] == 50 and need[0] > need[1] > need[2] > 0 and need[3] == 0 and need[4] == 0
-    for rare, n in zip((0, 10, 30), need):
-        alike = 0.6 / (1 - 0.6 * rare / 50)
-        assert (1 - alike**4) ** n <= 0.001
+def test_pairs_come_from_the_trees(monkeypatch):
+    """All pairs of different sets come out of the trees, which compare few of a shard's pairs."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(200)]
+    base = [rng.sample(words, rng.randint(25, 90)) for _ in range(500)]
+    texts = [" ".join(w) for w in base] + [" ".join(_edited(rng, w, 0.2)) for w in base[:100]]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    sets = pa.Table.from_batches(list(neardups._sets(iter([batch]), 20))).select(["key", "terms"]).to_batches()
+    order, state = np.zeros(1 << neardups.COUNTERS, np.uint8), np.ones(1 << neardups.COUNTERS, np.uint8)
+    rows = pa.Table.from_batches([b for x in neardups._parts(iter(sets)) for b in neardups.Shards(0.6, order, [state]).rows(*x)]).sort_by("shard").to_batches()
+    compared, within, plain = [], [], VantageForest.pairs
+
+    def pairs(self):
+        out = plain(self)
+        compared.append(self.compared)
+        within.append((self.length * (self.length - 1) // 2).sum())
+        return out
+
+    monkeypatch.setattr(VantageForest, "pairs", pairs)
+    got = {(r["a"], r["b"]) for b in neardups._Search(0.6, 8192)(iter(rows)) for r in b.to_pylist()}
+    want = _pairs([(i, None, t) for i, t in enumerate(texts)])
+    assert len(want) >= 90 and want <= got and sum(compared) < 0.5 * sum(within)
+    monkeypatch.setattr(VantageForest, "pairs", lambda self: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not list(neardups._Search(0.6, 8192)(iter(rows)))
+
+
+def test_shards_bring_similar_sets_together():
+    """Two similar sets share a shard, at every number of shared terms, where the bound lets them through."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 90, np.uint64) * np.uint64(2)
+    sets = [rng.choice(words, rng.integers(20, 70), replace=False) for _ in range(120)]
+    n = np.array([len(s) for s in sets])
+    order = np.zeros(1 << neardups.COUNTERS, np.uint8)
+    order[(words >> np.uint64(64 - neardups.COUNTERS)).astype(np.int64)] = rng.integers(0, 30, 90)
+    both = [(a, b) for a in range(120) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
+    assert len(both) > 100
+    full = np.full(1 << neardups.COUNTERS, 2, np.uint8)
+    for depth in (1, 2, 3):
+        shards = neardups.Shards(0.6, order, [full] * (depth - 1) + [np.ones_like(full)])
+        rows = pa.Table.from_batches(list(shards.rows(np.arange(120), np.concatenate(sets), n)))
+        body = np.frombuffer(b"".join(rows["body"].to_pylist()), neardups._BODY)
+        held = {}
+        for s, r in zip(rows["shard"].to_pylist(), body):
+            held.setdefault(int(r["key"]), {})[s] = r
+        for a, b in both:
+            ok = [s for s in held[a].keys() & held[b].keys() if np.bitwise_count(held[a][s]["bits"] ^ held[b][s]["bits"]).sum() <= 0.25 * (n[a] + n[b]) - held[a][s]["front"] - held[b][s]["front"] + 1e-9]
+            assert ok
 
 
 def test_similar_sets_of_nothing(spark):
@@ -107,17 +148,31 @@ def _prints(rng, n, families):
     return np.packbits(x, axis=1).view(np.uint64)
 
 
-def test_vantage_tree_is_exact_and_prunes():
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_vantage_forest_is_exact_and_prunes(least):
     rng = np.random.default_rng(1)
-    prints, sizes = _prints(rng, 1500, 60), rng.integers(30, 60, 1500)
-    tree = VantageTree(prints, sizes, 0.8)
-    got = set(zip(*map(np.ndarray.tolist, tree.pairs())))
-    d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(-1)
-    a, b = sizes[:, None], sizes[None]
-    ok = (d <= np.floor(0.2 / 1.8 * (a + b) + 1e-9)) & (np.minimum(a, b) >= 0.8 * np.maximum(a, b) - 1e-9)
-    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(ok, 1)))))
-    assert tree.compared < len(prints) ** 2
-    assert len(VantageTree(np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), 0.6).pairs()[0]) == 0
+    length = np.array([1500, 2, 3, 1, 400, 17, 16, 90])
+    m = length.sum()
+    prints, front = _prints(rng, m, 60), rng.integers(0, 9, m)
+    n = front + np.bitwise_count(prints).sum(axis=1).astype(np.int64) + 2 * rng.integers(0, 3, m)
+    forest = VantageForest(length, prints, n, front, least)
+    a, b = forest.pairs()
+    got = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    want, at, most = set(), 0, 0
+    for k in length:
+        p, s, x = prints[at : at + k], ((1 - least) / (1 + least) * n - front)[at : at + k], n[at : at + k]
+        d = np.bitwise_count(p[:, None] ^ p[None]).sum(-1)
+        # fingerprints no set could have are not told apart by size, so these pairs are left out here
+        ok = (d <= s[:, None] + s[None] + 1e-9) & (np.minimum(x[:, None], x[None]) >= least * np.maximum(x[:, None], x[None]) - 1e-9)
+        i, j = np.nonzero(np.triu(ok, 1))
+        want |= {(u + at, v + at) for u, v in zip(i.tolist(), j.tolist()) if abs((n - front)[u + at] - (n - front)[v + at]) <= (s[u] + s[v])}
+        at += k
+        most += k * (k - 1) // 2
+    assert len(got) == len(a) and want <= got
+    assert all(np.bitwise_count(prints[u] ^ prints[v]).sum() <= ((1 - least) / (1 + least) * (n[u] + n[v])) - front[u] - front[v] + 1e-2 for u, v in got)
+    assert forest.compared < most
+    empty = np.zeros(0, np.int64)
+    assert len(VantageForest(empty, np.zeros((0, 2), np.uint64), empty, empty, 0.6).pairs()[0]) == 0
 
 
 def test_large_shards_are_handed_on():
@@ -131,7 +186,7 @@ def test_large_shards_are_handed_on():
         for at in range(0, n, 1000):
             yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 1000]), neardups._packed(body[at : at + 1000])], names=["shard", "body"])
 
-    out = pa.Table.from_batches(list(neardups._Shards(0.6, 3000)(batches()))).to_pandas()
+    out = pa.Table.from_batches(list(neardups._Search(0.6, 3000)(batches()))).to_pandas()
     assert set(out[out.kind == 1].a) == set(range(100, 60_100))
     pairs = out[out.kind == 0]
     assert len(pairs) and not set(pairs.a) & set(range(100, 60_100)) and set(pairs.a) & set(range(100))
