@@ -16,6 +16,10 @@ from barlight.sources.tables import table
 from barlight.streaming import feeds
 
 
+#: Retrievals from here on make the second batch of the request log.
+_SECOND = "2025-12-01 00:00:00"
+
+
 def _place(spark, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -35,11 +39,14 @@ def envelope_articles(spark, d):
 
 
 def request_log_latest(spark, d):
-    """A request log written as JSON lines; the last line of each window wins."""
+    """A request log of two batches, the second larger; the last line of each window wins."""
     raw = table(spark, d, "raw_articles")
-    log = raw.select(F.lit("request_window").alias("record_type"), "window_id", F.col("queried_ticker").alias("ticker"), F.col("obs_id").cast("int").alias("attempt"))
+    late = F.coalesce(F.col("retrieved_at_utc") >= F.lit(_SECOND).cast("timestamp"), F.lit(True))
+    # numbers fall in the second batch where they grow in the first, so the largest isn't the last
+    log = raw.select(F.lit("request_window").alias("record_type"), "window_id", F.col("queried_ticker").alias("ticker"), F.col("obs_id").cast("int").alias("attempt"), late.alias("_late"))
     path = _place(spark, "log")
-    sinks.append_log(log.coalesce(1).sortWithinPartitions("attempt"), path)
+    sinks.append_log(log.where(~F.col("_late")).drop("_late").orderBy("attempt"), path)
+    sinks.append_log(log.where("_late").drop("_late").orderBy(F.desc("attempt")), path)
     return landing.latest_requests(landing.read_jsonl(spark, path, landing.MANIFEST)).select("window_id", "ticker", "attempt")
 
 
@@ -174,7 +181,8 @@ _STATES = {
 
 SQL = {
     "envelope_articles": "SELECT obs_id AS id, queried_ticker, headline, summary, url FROM raw_articles WHERE obs_id % 5 <> 0",
-    "request_log_latest": "SELECT window_id, max_by(queried_ticker, obs_id) AS ticker, CAST(max(obs_id) AS INT) AS attempt FROM raw_articles GROUP BY window_id",
+    "request_log_latest": f"""SELECT window_id, ticker, attempt FROM (SELECT window_id, queried_ticker AS ticker, CAST(obs_id AS INT) AS attempt, row_number() OVER (PARTITION BY window_id
+  ORDER BY coalesce(retrieved_at_utc >= TIMESTAMPTZ '{_SECOND}+00', true) DESC, CASE WHEN coalesce(retrieved_at_utc >= TIMESTAMPTZ '{_SECOND}+00', true) THEN -obs_id ELSE obs_id END DESC) AS rn FROM raw_articles) WHERE rn = 1""",
     "text_table": "SELECT CAST(article_id AS VARCHAR) AS article_id, " + ", ".join(f"{_TRIMMED.format(c)} AS {c}" for c in ("queried_tickers", "companies_discussed", "headline")) + " FROM articles",
     "view_files": f"WITH {sq.EVENTS} " + " UNION ALL ".join(f"SELECT '{v}' AS view, count(*) AS rows FROM events_ WHERE shift_{v} = 1" for v in ("1pct_up", "1pct_down", "5pct_up", "5pct_down")),
     "stream_totals": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",

@@ -18,13 +18,22 @@ MANIFEST = "record_type string, window_id string, ticker string, from_date date,
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSONL file, blank lines skipped, with the line's place in the file.
+    """Rows of JSONL files, blank lines skipped, with ``line_no``, by which lines are in order.
 
-    Bad JSON raises. The place comes from the scan: partition and row within it, ascending with the
-    line in each file.
+    Bad JSON raises. Where ``append_log`` wrote the files, its batches come first, then their parts;
+    other files come by time of change and path. Within a file a line stands by its split's start
+    and its row there. A scan packs splits by size, so the row alone tells nothing across splits.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "line_no")
+    lines = spark.read.text(path)
+    file = F.col("_metadata.file_path")
+    batch = F.col("batch").cast("bigint") if "batch" in lines.columns else F.lit(None).cast("bigint")
+    part = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1)
+    place = F.struct(
+        batch.alias("batch"), F.when(batch.isNull(), F.col("_metadata.file_modification_time")).alias("changed"),
+        F.when(batch.isNotNull() & (part != ""), part.cast("bigint")).alias("part"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_row").alias("row"),
+    )
+    lines = lines.select("value", F.monotonically_increasing_id().alias("_row"), *[c for c in lines.columns if c == "batch"], "_metadata").select("value", place.alias("line_no"))
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "line_no")
     return parsed.where(F.col("r").isNotNull()).select("r.*", "line_no")
 
 

@@ -38,8 +38,17 @@ def write_json(path: str, content: dict) -> None:
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Rows added to a JSON log; files already there are never touched."""
-    df.write.mode("append").json(path)
+    """Rows added to a JSON log as its next batch, in the order of ``df``; files already there are never touched.
+
+    Batches are numbered, so a reader knows their order whatever their sizes and times. Of two writers
+    that take the same number at a time, one is refused.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    last = max([int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")], default=-1)
+    df.write.mode("errorifexists").json(f"{path}/batch={last + 1:06d}")
 
 
 def write_table(df: DataFrame, path: str, columns: list[str], kind: str = "csv") -> None:

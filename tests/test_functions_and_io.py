@@ -207,3 +207,25 @@ def test_streams(spark, tmp_path):
     left = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s")).select("kind", "ts")
     pairs = _run(feeds.preceding_matches(left, _stream(spark, str(tmp_path / "i"), items), "kind", "ts", "item_ts", 1), spark, "pairs", tmp_path, "append")
     assert pairs.count() == 10
+
+
+def test_request_log_of_several_appends(spark, tmp_path):
+    """The order of appends counts, not the size or the part a line lies in."""
+    schema = "record_type string, window_id string, status string, attempt int"
+    path = str(tmp_path / "log")
+    for attempt, count in ((1, 3), (2, 3000), (3, 2)):
+        rows = spark.createDataFrame([("request_window", f"w{i}", f"s{attempt}", attempt) for i in range(count)], schema)
+        sinks.append_log(rows.repartitionByRange(3, "window_id"), path)
+    got = {r.window_id: r.attempt for r in landing.latest_requests(landing.read_jsonl(spark, path, landing.MANIFEST)).collect()}
+    assert len(got) == 3000 and got["w0"] == got["w1"] == 3 and got["w2"] == got["w2999"] == 2
+
+
+def test_lines_of_one_file_in_many_splits(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "log.jsonl").write_text("".join(f'{{"record_type": "request_window", "window_id": "w{i % 7}", "attempt": {i}}}\n' for i in range(5000)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = {r.window_id: r.attempt for r in landing.latest_requests(landing.read_jsonl(spark, str(tmp_path / "log.jsonl"), landing.MANIFEST)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"w{i % 7}": i for i in range(4993, 5000)}
