@@ -68,23 +68,27 @@ def coverage_periods(days: DataFrame, good: str = "success") -> DataFrame:
     return runs.groupBy("ticker", "state", "_run").agg(F.min("day").alias("from_day"), F.max("day").alias("to_day"), F.count(F.lit(1)).alias("days")).drop("_run")
 
 
-def window_verdicts(events: DataFrame, days: DataFrame, counts: DataFrame, keys: list[str], window_days: int = 9) -> DataFrame:
-    """Every event with what is known about the collection over its lookback window.
+def window_verdicts(events: DataFrame, days: DataFrame, counts: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """Every event with what is known about the collection over its lookback windows of 24 and 72
+    hours and of seven days, and whether these reach beyond the collected dates ``first`` to ``last``.
 
     Each event is spread over the UTC days from the start of its window to the microsecond before its
     cutoff and joined on the day. ``coverage_issues`` is JSON: per day and state the tickers. A state
     that joins several names by bars counts as a known gap only by its failed and unavailable parts.
     """
     micro = F.expr("INTERVAL 1 MICROSECOND")
-    spread = events.where(F.col("cutoff_utc").isNotNull()).select(*keys, F.explode(F.sequence(F.to_date("lookback_start_utc"), F.to_date(F.col("cutoff_utc") - micro))).alias("day"))
+    bounded = events.where(F.col("cutoff_utc").isNotNull())
+    inside = [(F.col("day") >= F.to_date(F.col("cutoff_utc") - F.expr(f"INTERVAL {h} HOURS"))).alias(f"_{h}h") for h in (24, 72)]
+    spread = bounded.select(*keys, "cutoff_utc", F.explode(F.sequence(F.to_date("lookback_start_utc"), F.to_date(F.col("cutoff_utc") - micro))).alias("day")).select(*keys, "day", *inside)
     issues = spread.join(days.where(F.col("coverage_state") != "success").withColumnRenamed("ticker", "_ticker"), "day")
-    by_state = issues.groupBy(*keys, "day", F.col("coverage_state").alias("state")).agg(F.array_sort(F.collect_set("_ticker")).alias("tickers"))
+    by_state = issues.groupBy(*keys, "day", "_24h", "_72h", F.col("coverage_state").alias("state")).agg(F.array_sort(F.collect_set("_ticker")).alias("tickers"))
     s = F.col("state")
     gap = s.isin("no_terminal_request", "missing_raw_response_file", "outside_collected_date_range") | s.contains("failed") | s.contains("unavailable")
     verdict = by_state.groupBy(*keys).agg(
         F.to_json(F.array_sort(F.collect_list(F.struct(F.col("day").cast("string").alias("date_utc"), "state", "tickers")))).alias("coverage_issues"),
         F.max(gap.cast("int")).alias("known_collection_gap"),
         F.max(s.contains("truncation").cast("int")).alias("potential_truncation"),
+        *[F.max(F.col(f"_{w}").cast("int")).alias(f"_{w}") for w in ("24h", "72h")],
     )
     out = events.join(counts, keys, "left").join(verdict, keys, "left")
     n = F.coalesce("article_count_7d", F.lit(0))
@@ -92,6 +96,9 @@ def window_verdicts(events: DataFrame, days: DataFrame, counts: DataFrame, keys:
     meaning = F.when(n > 0, "has_matches").when(F.col("coverage_issues").isNotNull(), "zero_matches_with_coverage_gap").otherwise("zero_matches_in_verified_windows")
     return out.select(
         *keys, n.alias("article_count_7d"), F.coalesce("coverage_issues", F.lit("[]")).alias("coverage_issues"),
+        *[(F.coalesce(f"_{w}", F.lit(0)) == 0).cast("int").alias(f"collection_window_verified_{w}") for w in ("24h", "72h")],
         F.col("coverage_issues").isNull().cast("int").alias("collection_window_verified_7d"),
+        F.coalesce((F.col("lookback_start_utc") < F.lit(first).cast("timestamp")).cast("int"), F.lit(0)).alias("incomplete_lookback_at_news_start"),
+        F.coalesce((F.col("cutoff_utc") > F.date_add(F.lit(last).cast("date"), 1).cast("timestamp")).cast("int"), F.lit(0)).alias("extends_past_news_collection_end"),
         gaps.alias("known_collection_gap"), F.coalesce("potential_truncation", F.lit(0)).alias("potential_truncation"), meaning.alias("zero_match_interpretation"),
     )

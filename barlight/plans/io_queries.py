@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from barlight.functions import ids, text
 from barlight.operators import grouping
+from barlight.operators.timestamps import with_feed, with_instant
 from barlight.plans import series_queries as sq
+from barlight.plans.sql_times import RAW_TIMES
 from barlight.session import shared_folder
 from barlight.sources import landing, sinks
 from barlight.sources.tables import table
@@ -25,17 +27,19 @@ def _place(spark, label: str) -> str:
 
 
 def envelope_articles(spark, d):
-    """Observations landed as response envelopes, one document per line, and read back."""
-    raw = table(spark, d, "raw_articles")
-    article = F.struct("category", F.lit(None).cast("bigint").alias("datetime"), "headline", F.col("obs_id").alias("id"), "image", "related", "source", "summary", "url")
+    """Observations landed as response envelopes, one document per line, and read back: those of the
+    collected dates, and those whose time is unknown."""
+    raw = with_instant(with_feed(table(spark, d, "raw_articles"), table(spark, d, "feeds")), "datetime", F.col("feed_zone"), "_at")
+    seconds = F.floor(F.col("_at") / F.lit(1_000_000)).cast("bigint")
+    article = F.struct("category", seconds.alias("datetime"), "headline", F.col("obs_id").alias("id"), "image", "related", "source", "summary", "url")
     env = raw.select(
         F.lit(1).alias("schema_version"), F.struct(F.lit("news").alias("endpoint"), F.col("queried_ticker").alias("symbol")).alias("request"), F.col("retrieved_at_utc").cast("string").alias("retrieved_at_utc"),
-        F.lit(200).alias("http_status"), F.lit("success").alias("collection_status"), (F.col("obs_id") % 5 != 0).alias("terminal_window"), F.array(article).alias("response"),
+        F.lit(200).alias("http_status"), F.lit("success").alias("collection_status"), F.lit(True).alias("terminal_window"), F.array(article).alias("response"),
     )
     path = _place(spark, "envelopes")
     env.write.json(path)
     landed = spark.read.schema(landing.ENVELOPE).json(path, mode="FAILFAST").withColumn("raw_file", F.lit(""))
-    return landing.envelope_articles(landed).select("id", "queried_ticker", "headline", "summary", "url")
+    return landing.envelope_articles(landed, "2025-11-01", "2026-03-31").select("id", "queried_ticker", "headline", "summary", "url", F.col("datetime").alias("published_seconds"))
 
 
 def request_log_latest(spark, d):
@@ -152,6 +156,12 @@ def provenance(spark, d):
     return sinks.provenance(spark, {n: table(spark, d, n) for n in names})
 
 
+def input_ranges(spark, d):
+    """First and last value of a dated column of every input."""
+    dated = {"articles": "retrieved_at_utc", "raw_articles": "retrieved_at_utc", "daily_bars": "trading_date", "core_bars": "trading_date", "session_calendar": "session_date"}
+    return sinks.input_ranges({t: (table(spark, d, t), c) for t, c in dated.items()}).select("name", "column", F.substring("first", 1, 19).alias("first"), F.substring("last", 1, 19).alias("last"))
+
+
 def input_rows(spark, d):
     """The row counts of the provenance."""
     return provenance(spark, d).select("name", "rows")
@@ -169,7 +179,7 @@ def all_chart_points(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     envelope_articles, request_log_latest, text_table, view_files, stream_totals, stream_sessions, stream_distinct, ticker_sets, ticker_subset,
-    scalar_functions, state_texts, headline_ratios, provenance, input_rows, chart_points, all_chart_points,
+    scalar_functions, state_texts, headline_ratios, provenance, input_rows, input_ranges, chart_points, all_chart_points,
 )}
 
 _TRIMMED = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
@@ -180,7 +190,12 @@ _STATES = {
 }
 
 SQL = {
-    "envelope_articles": "SELECT obs_id AS id, queried_ticker, headline, summary, url FROM raw_articles WHERE obs_id % 5 <> 0",
+    "envelope_articles": f"""WITH {RAW_TIMES} SELECT obs_id AS id, queried_ticker, headline, summary, url, CAST(floor(epoch_us(utc) / 1000000.0) AS BIGINT) AS published_seconds FROM raw JOIN raw_articles USING (obs_id)
+WHERE utc IS NULL OR CAST(utc AS DATE) BETWEEN DATE '2025-11-01' AND DATE '2026-03-31'""",
+    "input_ranges": " UNION ALL ".join(
+        f"SELECT '{t}' AS name, '{c}' AS \"column\", " + ", ".join(f"strftime(timezone('UTC', {f}({c})), '%Y-%m-%d %H:%M:%S') AS \"{n}\"" if c == "retrieved_at_utc" else f"CAST({f}({c}) AS VARCHAR) AS \"{n}\"" for f, n in (("min", "first"), ("max", "last"))) + f" FROM {t}"
+        for t, c in (("articles", "retrieved_at_utc"), ("raw_articles", "retrieved_at_utc"), ("daily_bars", "trading_date"), ("core_bars", "trading_date"), ("session_calendar", "session_date"))
+    ),
     "request_log_latest": f"""SELECT window_id, ticker, attempt FROM (SELECT window_id, queried_ticker AS ticker, CAST(obs_id AS INT) AS attempt, row_number() OVER (PARTITION BY window_id
   ORDER BY coalesce(retrieved_at_utc >= TIMESTAMPTZ '{_SECOND}+00', true) DESC, CASE WHEN coalesce(retrieved_at_utc >= TIMESTAMPTZ '{_SECOND}+00', true) THEN -obs_id ELSE obs_id END DESC) AS rn FROM raw_articles) WHERE rn = 1""",
     "text_table": "SELECT CAST(article_id AS VARCHAR) AS article_id, " + ", ".join(f"{_TRIMMED.format(c)} AS {c}" for c in ("queried_tickers", "companies_discussed", "headline")) + " FROM articles",

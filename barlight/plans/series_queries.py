@@ -31,12 +31,14 @@ def events(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return sessions.flagged_events(features(spark, d, whole), table(spark, d, "session_calendar"))
 
 
-def articles(spark: SparkSession, d: str) -> DataFrame:
-    return article_instants(table(spark, d, "articles"), table(spark, d, "feeds"))
+def articles(spark: SparkSession, d: str, which=None) -> DataFrame:
+    """Articles with their instants; ``which`` filters first, since nothing is pushed through the instants."""
+    rows = table(spark, d, "articles")
+    return article_instants(rows if which is None else rows.where(which), table(spark, d, "feeds"))
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).where(F.col("relevance_type").isin("direct", "indirect"))
+    return articles(spark, d, F.col("relevance_type").isin("direct", "indirect"))
 
 
 def primary_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -207,13 +209,28 @@ def window_verdicts(spark, d):
     """What is known about the collection over each event's lookback."""
     e = events(spark, d).where(F.col("ticker") == PRIMARY)
     counts = primary_pairs(spark, d).groupBy("ticker", "event_date").agg(F.sum("in_7d").alias("article_count_7d"))
-    return coverage.window_verdicts(e, _days(spark, d), counts, ["ticker", "event_date"]).drop("coverage_issues")
+    return coverage.window_verdicts(e, _days(spark, d), counts, ["ticker", "event_date"], "2025-10-01", "2026-05-01")
+
+
+def landed_days(spark, d):
+    """States of every ticker and day where the files of windows with one article were not landed."""
+    log = request_log(spark, d).withColumn("raw_file", F.concat("window_id", F.lit("-"), "ticker", F.lit(".json")))
+    landed = log.where(F.col("article_count") > 1).select("raw_file")
+    return coverage.day_states(log, landed).select("ticker", "day", F.array_join("states", "|").alias("states"))
+
+
+def variant_counts(spark, d):
+    """Different contents seen under an observation's article id or address, the larger number."""
+    raw = table(spark, d, "raw_articles").withColumn("normalized_url", F.col("url"))
+    content = ["headline", "summary", "datetime"]
+    out = matching.with_variants(raw.select("obs_id", "article_id", "normalized_url"), matching.content_variants(raw, "article_id", content), matching.content_variants(raw, "normalized_url", content))
+    return out.select("obs_id", "content_variants")
 
 
 QUERIES = {f.__name__: f for f in (
     daily_bars, move_features, bar_validation, session_gaps, missing_values, review_rows, trimmed_features, flagged_events, flag_problems, view_totals,
     lookback_match, lookback_match_by_ticker, match_summary, never_linked, pair_invariants, content_variants, timestamp_gate, prepared_status,
-    uncertain_pairs, revision_gate, latest_window_rows, coverage_days, coverage_periods, reported_periods, window_verdicts,
+    uncertain_pairs, revision_gate, latest_window_rows, coverage_days, coverage_periods, reported_periods, window_verdicts, landed_days, variant_counts,
 )}
 #: The same over the bars of all tickers, those of the growing table included.
 _WHOLE = (daily_bars, move_features, missing_values, review_rows, flagged_events, view_totals, lookback_match_by_ticker)
@@ -330,12 +347,23 @@ k AS (SELECT ticker, day, status AS state FROM (SELECT *, row_number() OVER (PAR
 r AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY ticker, state ORDER BY day) AS INT) AS run FROM k WHERE state <> 'success')
 SELECT ticker, state, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM r GROUP BY ticker, state, run""",
     "window_verdicts": PRIMARY_PAIRS + f""", {_LOG},
-spread AS (SELECT ticker, event_date, CAST(unnest(generate_series(date_trunc('day', timezone('UTC', lookback_start_utc)), date_trunc('day', timezone('UTC', cutoff_utc) - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS DATE) AS day FROM events_ WHERE ticker = '{PRIMARY}' AND cutoff_utc IS NOT NULL),
+spread AS (SELECT ticker, event_date, cutoff_utc, CAST(unnest(generate_series(date_trunc('day', timezone('UTC', lookback_start_utc)), date_trunc('day', timezone('UTC', cutoff_utc) - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS DATE) AS day FROM events_ WHERE ticker = '{PRIMARY}' AND cutoff_utc IS NOT NULL),
 iss AS (SELECT s.ticker, s.event_date, max(CAST(coverage_state IN ('no_terminal_request', 'missing_raw_response_file', 'outside_collected_date_range') OR contains(coverage_state, 'failed') OR contains(coverage_state, 'unavailable') AS INT)) AS g,
-  max(CAST(contains(coverage_state, 'truncation') AS INT)) AS t FROM spread AS s JOIN cover AS c ON c.day = s.day WHERE coverage_state <> 'success' GROUP BY 1, 2),
-n AS (SELECT ticker, event_date, count(*) AS n FROM placed GROUP BY 1, 2)
-SELECT e.ticker, e.event_date, coalesce(n, 0) AS article_count_7d, CAST(g IS NULL AS INT) AS collection_window_verified_7d, coalesce(g, 0) AS known_collection_gap, coalesce(t, 0) AS potential_truncation,
+  max(CAST(contains(coverage_state, 'truncation') AS INT)) AS t, max(CAST(s.day >= CAST(timezone('UTC', cutoff_utc) - INTERVAL 24 HOUR AS DATE) AS INT)) AS h24, max(CAST(s.day >= CAST(timezone('UTC', cutoff_utc) - INTERVAL 72 HOUR AS DATE) AS INT)) AS h72 FROM spread AS s JOIN cover AS c ON c.day = s.day WHERE coverage_state <> 'success' GROUP BY 1, 2),
+n AS (SELECT ticker, event_date, count(*) AS n FROM placed GROUP BY 1, 2),
+tick AS (SELECT s.ticker, s.event_date, CAST(s.day AS VARCHAR) AS date_utc, coverage_state AS state, list_sort(list(DISTINCT c.ticker)) AS tickers FROM spread AS s JOIN cover AS c ON c.day = s.day WHERE coverage_state <> 'success' GROUP BY 1, 2, 3, 4),
+js AS (SELECT ticker, event_date, CAST(to_json(list({{'date_utc': date_utc, 'state': state, 'tickers': tickers}} ORDER BY date_utc, state)) AS VARCHAR) AS j FROM tick GROUP BY 1, 2)
+SELECT e.ticker, e.event_date, coalesce(n, 0) AS article_count_7d, coalesce(j, '[]') AS coverage_issues, CAST(coalesce(h24, 0) = 0 AS INT) AS collection_window_verified_24h, CAST(coalesce(h72, 0) = 0 AS INT) AS collection_window_verified_72h,
+  CAST(coalesce(e.lookback_start_utc < TIMESTAMPTZ '2025-10-01 00:00:00+00', false) AS INT) AS incomplete_lookback_at_news_start, CAST(coalesce(e.cutoff_utc > TIMESTAMPTZ '2026-05-02 00:00:00+00', false) AS INT) AS extends_past_news_collection_end,
+  CAST(g IS NULL AS INT) AS collection_window_verified_7d, coalesce(g, 0) AS known_collection_gap, coalesce(t, 0) AS potential_truncation,
   CASE WHEN coalesce(n, 0) > 0 THEN 'has_matches' WHEN g IS NOT NULL THEN 'zero_matches_with_coverage_gap' ELSE 'zero_matches_in_verified_windows' END AS zero_match_interpretation
-FROM events_ AS e LEFT JOIN n ON n.ticker = e.ticker AND n.event_date = e.event_date LEFT JOIN iss ON iss.ticker = e.ticker AND iss.event_date = e.event_date WHERE e.ticker = '{PRIMARY}'""",
+FROM events_ AS e LEFT JOIN n ON n.ticker = e.ticker AND n.event_date = e.event_date LEFT JOIN iss ON iss.ticker = e.ticker AND iss.event_date = e.event_date LEFT JOIN js ON js.ticker = e.ticker AND js.event_date = e.event_date WHERE e.ticker = '{PRIMARY}'""",
+}
+SQL |= {
+    "landed_days": f"""WITH {_LOG}, e AS (SELECT ticker, CASE WHEN article_count > 1 THEN status ELSE 'missing_raw_response_file' END AS s, CAST(unnest(generate_series(CAST(from_date AS TIMESTAMP), CAST(to_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM stat)
+SELECT ticker, day, string_agg(DISTINCT s, '|' ORDER BY s) AS states FROM e GROUP BY 1, 2""",
+    "variant_counts": """WITH v AS (SELECT *, {'h': headline, 's': summary, 'd': "datetime"} AS c FROM raw_articles),
+a AS (SELECT article_id, count(DISTINCT c) AS n FROM v WHERE article_id IS NOT NULL GROUP BY 1), u AS (SELECT url, count(DISTINCT c) AS n FROM v WHERE url <> '' GROUP BY 1)
+SELECT obs_id, greatest(1, coalesce(a.n, 1), coalesce(u.n, 1)) AS content_variants FROM raw_articles AS r LEFT JOIN a ON a.article_id = r.article_id LEFT JOIN u ON u.url = r.url""",
 }
 SQL |= {f"all_{f.__name__}": over_all(SQL[f.__name__]) for f in _WHOLE}

@@ -121,18 +121,28 @@ def article_contract(spark, d):
 
 
 def reconciliation(spark, d):
-    """Counts that must agree between two ways to get them."""
+    """Counts that should agree: groups with their representatives, recorded with counted sizes, ids."""
     a = table(spark, d, "articles")
+    grouped = a.where(F.col("duplicate_group_id").isNotNull())
+    sizes = grouped.groupBy("duplicate_group_id").agg(F.count(F.lit(1)).alias("n"))
     return reports.reconciled({
-        "signals": (a.where((F.col("excluded") == "false") & F.col("relevance_type").isin("direct", "indirect")), a.where(F.col("excluded") == "false").where(F.col("relevance_type") != "not_relevant")),
+        "representatives": (grouped.where(F.col("event_representative") == "true"), sizes),
+        "recorded_sizes": (grouped.join(sizes, "duplicate_group_id").where(F.col("n") == F.col("duplicate_group_size")), grouped),
         "ids": (a.select("article_id").distinct(), a.select("article_id")),
     })
 
 
 def signals_absent(spark, d):
-    """Observed articles that the classified table does not hold, by address."""
-    raw = table(spark, d, "raw_articles").select("obs_id", F.col("url").alias("normalized_url"))
-    return reports.absent_from(raw, table(spark, d, "articles").where(F.col("normalized_url").isNotNull()), ["normalized_url"]).select("obs_id")
+    """Signal articles whose source the list of feeds does not hold."""
+    signals = table(spark, d, "articles").where((F.col("excluded") == "false") & F.col("relevance_type").isin("direct", "indirect")).select("article_id", "source")
+    return reports.absent_from(signals, table(spark, d, "feeds"), ["source"]).select("article_id")
+
+
+def signal_violations(spark, d):
+    """Rows marked as not excluded that a table of signals must not hold, by rule."""
+    kept = table(spark, d, "articles").where(F.col("excluded") == "false")
+    rules = {"relevant": F.col("relevance_type").isin("direct", "indirect"), "representative": F.col("event_representative") == "true", "has_headline": F.coalesce("headline", F.lit("")) != ""}
+    return reports.contract_violations(kept, rules, ["article_id", "exact_duplicate_group_id"])
 
 
 def stratified_sample(spark, d):
@@ -160,26 +170,34 @@ def evenly_spaced(spark, d):
     return reports.evenly_spaced(a, ["event_category"], ["published_micros", "article_id"], 5).select("event_category", "article_id")
 
 
-def _words(spark, d) -> DataFrame:
+def _dated(spark, d) -> DataFrame:
     at = F.timestamp_micros("published_micros")
     a = sq.articles(spark, d).where(F.col("published_micros").isNotNull())
-    a = a.withColumns({"utc_day": F.to_date(at), "ny_day": F.to_date(F.from_utc_timestamp(at, ZONE))})
-    return words.word_rows(a, _full_text(), ["article_id", "relevance_type", "event_category", "utc_day", "ny_day"])
+    return a.withColumns({"utc_day": F.to_date(at), "ny_day": F.to_date(F.from_utc_timestamp(at, ZONE))})
+
+
+def _words(spark, d) -> DataFrame:
+    return words.word_rows(_dated(spark, d), _full_text(), ["relevance_type", "event_category", "utc_day", "ny_day"])
 
 
 def word_freq(spark, d):
     """Per word: counts, days and leading category."""
-    return words.overall_words(_words(spark, d), "article_id", "relevance_type", "utc_day", "event_category")
+    return words.overall_words(_words(spark, d), "relevance_type", "utc_day", "event_category")
+
+
+def _daily(word_rows: DataFrame) -> DataFrame:
+    return words.daily_words(word_rows, "utc_day", "ny_day", "relevance_type", "event_category")
 
 
 def word_freq_daily(spark, d):
-    """Per word and day: counts."""
-    return words.daily_words(_words(spark, d), "article_id", "utc_day", "ny_day")
+    """Per word and day: counts, leading category, articles of the day and the same date's moves."""
+    moves = sq.features(spark, d).where(F.col("ticker") == sq.PRIMARY)
+    return words.with_day_context(_daily(_words(spark, d)), _dated(spark, d), "utc_day", "ny_day", moves)
 
 
 def word_freq_local(spark, d):
     """Daily counts by New York date."""
-    return words.by_local_day(word_freq_daily(spark, d))
+    return words.by_local_day(_daily(_words(spark, d)))
 
 
 def top_words(spark, d):
@@ -187,10 +205,13 @@ def top_words(spark, d):
     return words.top_words(word_freq(spark, d)).select("word", "total_occurrences")
 
 
-def _lagged(spark, d):
+def _lagged(spark, d, only: DataFrame | None = None):
+    rows = _words(spark, d)
+    if only is not None:  # the few words asked for, before anything is counted
+        rows = rows.join(F.broadcast(only.select("word")), "word", "left_semi")
     f = sq.features(spark, d).where(F.col("ticker") == sq.PRIMARY)
     sessions = f.select(F.col("trading_date").alias("session_date"))
-    return words.lagged_words(word_freq_local(spark, d), sessions, f)
+    return words.lagged_words(words.by_local_day(_daily(rows)), sessions, f)
 
 
 def lagged_words(spark, d):
@@ -200,7 +221,8 @@ def lagged_words(spark, d):
 
 def word_fits(spark, d):
     """Correlation and line of the next move over a leading word's daily count."""
-    fits = words.word_fits(_lagged(spark, d), top_words(spark, d))
+    top = top_words(spark, d)
+    fits = words.word_fits(_lagged(spark, d, top), top)
     return fits.select("word", "days", *[(F.round(c, 6) + 0.0).alias(c) for c in ("correlation", "slope", "intercept")])
 
 
@@ -280,8 +302,8 @@ def price_fit(spark, d):
 
 
 def customers_without_orders(spark, d):
-    """Anti join of customers against orders."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Customers without an order since 1998."""
+    return table(spark, d, "customer").join(table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("date")), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 def union_of_parties(spark, d):
@@ -308,7 +330,7 @@ def exact_texts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalized_texts, normalized_documents, normalized_urls, term_hits, classify, entity_tags, stable_ids, merged_observations, exact_group_sizes, headline_edges,
-    event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, stratified_sample, sample_composition, first_headlines, evenly_spaced,
+    event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, signal_violations, stratified_sample, sample_composition, first_headlines, evenly_spaced,
     word_freq, word_freq_daily, word_freq_local, top_words, lagged_words, word_fits, daily_mean_occurrences, asof_next_session, tfidf_weights, topic_words, topic_shares,
     category_shares, request_plan, all_request_plan, failure_states, orders_per_customer, line_shares, price_fit, customers_without_orders, union_of_parties, idle_days, exact_texts,
 )}
@@ -355,12 +377,17 @@ byc AS (SELECT word, event_category, count(*) AS n FROM w GROUP BY 1, 2),
 lead AS (SELECT word, event_category AS top_event_category FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, coalesce(event_category, '')) AS rn FROM byc) WHERE rn = 1),
 freq AS (SELECT word, count(*) AS total_occurrences, count(DISTINCT article_id) AS article_count, count(*) FILTER (relevance_type = 'direct') AS direct_occurrences, count(*) FILTER (relevance_type = 'indirect') AS indirect_occurrences,
   min(utc_day) AS first_utc_date, max(utc_day) AS last_utc_date FROM w GROUP BY word),
-daily AS (SELECT utc_day AS utc_date, ny_day AS local_date, word, count(*) AS occurrences, count(DISTINCT article_id) AS articles FROM w GROUP BY 1, 2, 3),
-loc AS (SELECT local_date, word, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(articles) AS BIGINT) AS articles, string_agg(DISTINCT CAST(utc_date AS VARCHAR), '|' ORDER BY CAST(utc_date AS VARCHAR)) AS utc_dates FROM daily GROUP BY 1, 2),
+dayc AS (SELECT utc_day, ny_day, word, event_category, row_number() OVER (PARTITION BY utc_day, ny_day, word ORDER BY count(*) DESC, coalesce(event_category, '')) AS rn FROM w GROUP BY 1, 2, 3, 4),
+day0 AS (SELECT utc_day, ny_day, word, count(*) AS occurrences, count(DISTINCT article_id) AS articles, count(*) FILTER (relevance_type = 'direct') AS direct_occurrences, count(*) FILTER (relevance_type = 'indirect') AS indirect_occurrences FROM w GROUP BY 1, 2, 3),
+daily AS (SELECT d.utc_day AS utc_date, d.ny_day AS local_date, d.word, occurrences, articles, direct_occurrences, indirect_occurrences, event_category AS top_event_category
+  FROM day0 AS d JOIN dayc AS c ON c.utc_day = d.utc_day AND c.ny_day = d.ny_day AND c.word = d.word AND rn = 1),
+locc AS (SELECT local_date, word, top_event_category, row_number() OVER (PARTITION BY local_date, word ORDER BY sum(occurrences) DESC, coalesce(top_event_category, '')) AS rn FROM daily GROUP BY 1, 2, 3),
+loc0 AS (SELECT local_date, word, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(articles) AS BIGINT) AS articles, string_agg(DISTINCT CAST(utc_date AS VARCHAR), '|' ORDER BY CAST(utc_date AS VARCHAR)) AS utc_dates FROM daily GROUP BY 1, 2),
+loc AS (SELECT l.*, top_event_category FROM loc0 AS l JOIN locc AS c ON c.local_date = l.local_date AND c.word = l.word AND rn = 1),
 top AS (SELECT word, total_occurrences FROM freq WHERE NOT list_contains({_list(text.RANKING_STOPWORDS)}, word) AND length(word) > 1 ORDER BY total_occurrences DESC, word LIMIT 12)"""
 _LAG = _WORDS + f""", {sq.FEATS},
 mine AS (SELECT * FROM feats WHERE ticker = '{sq.PRIMARY}'),
-spans AS (SELECT trading_date, coalesce(lag(trading_date) OVER (ORDER BY trading_date), trading_date - 15) AS prev FROM mine),
+spans AS (SELECT trading_date, coalesce(lag(trading_date) OVER (ORDER BY trading_date), DATE '0001-01-01') AS prev FROM mine),
 lagged_w AS (SELECT loc.*, s.trading_date AS next_trading_date, m.adjusted_close_return_1d AS r, m.price_move_1pct AS f FROM loc LEFT JOIN spans AS s ON local_date >= s.prev AND local_date < s.trading_date LEFT JOIN mine AS m ON m.trading_date = s.trading_date)"""
 _GRAMS = f"""WITH d AS (SELECT article_id, list_filter(regexp_extract_all(lower({_BOTH}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(text.RANKING_STOPWORDS)}, w)) AS w FROM articles),
 g AS (SELECT article_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
@@ -402,10 +429,16 @@ FROM m LEFT JOIN art ON strftime(utc, '%Y-%m') = m.month GROUP BY m.month""",
   (SELECT count(*) FROM (SELECT article_id FROM articles GROUP BY 1 HAVING count(*) > 1)) AS article_id_repeated,
   (SELECT count(*) FROM (SELECT normalized_url FROM articles WHERE normalized_url <> '' GROUP BY 1 HAVING count(*) > 1)) AS normalized_url_repeated FROM art)
 UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE violations""",
-    "reconciliation": """SELECT 'signals' AS "check", count(*) FILTER (excluded = 'false' AND relevance_type IN ('direct', 'indirect')) AS left_count, count(*) FILTER (excluded = 'false' AND relevance_type <> 'not_relevant') AS right_count,
-  count(*) FILTER (excluded = 'false' AND relevance_type IN ('direct', 'indirect')) = count(*) FILTER (excluded = 'false' AND relevance_type <> 'not_relevant') AS equal FROM articles
-UNION ALL SELECT 'ids', count(DISTINCT article_id), count(*), count(DISTINCT article_id) = count(*) FROM articles""",
-    "signals_absent": "SELECT obs_id FROM raw_articles AS r WHERE NOT EXISTS (SELECT 1 FROM articles AS a WHERE a.normalized_url = r.url)",
+    "reconciliation": """WITH g AS (SELECT *, count(*) OVER (PARTITION BY duplicate_group_id) AS n FROM articles WHERE duplicate_group_id IS NOT NULL),
+c AS (SELECT 'representatives' AS "check", count(*) FILTER (event_representative = 'true') AS left_count, count(DISTINCT duplicate_group_id) AS right_count FROM g
+UNION ALL SELECT 'recorded_sizes', count(*) FILTER (n = duplicate_group_size), count(*) FROM g UNION ALL SELECT 'ids', count(DISTINCT article_id), count(*) FROM articles)
+SELECT *, left_count = right_count AS equal FROM c""",
+    "signals_absent": "SELECT article_id FROM articles WHERE excluded = 'false' AND relevance_type IN ('direct', 'indirect') AND (source IS NULL OR source NOT IN (SELECT source FROM feeds))",
+    "signal_violations": """WITH k AS (SELECT * FROM articles WHERE excluded = 'false'),
+c AS (SELECT count(*) FILTER (relevance_type IS NULL OR relevance_type NOT IN ('direct', 'indirect')) AS relevant, count(*) FILTER (event_representative IS NULL OR event_representative <> 'true') AS representative, count(*) FILTER (coalesce(headline, '') = '') AS has_headline,
+  (SELECT count(*) FROM (SELECT article_id FROM k GROUP BY 1 HAVING count(*) > 1)) AS article_id_repeated,
+  (SELECT count(*) FROM (SELECT exact_duplicate_group_id FROM k WHERE exact_duplicate_group_id <> '' GROUP BY 1 HAVING count(*) > 1)) AS exact_duplicate_group_id_repeated FROM k)
+UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE violations""",
     "evenly_spaced": f"""WITH {ARTICLE_TIMES}, r AS (SELECT event_category, article_id, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) - 1 AS i, count(*) OVER (PARTITION BY event_category) AS n FROM art WHERE utc IS NOT NULL)
 SELECT event_category, article_id FROM r WHERE n <= 5 OR i IN (0, CAST(round_even((n - 1) / 4.0, 0) AS INT), CAST(round_even(2 * (n - 1) / 4.0, 0) AS INT), CAST(round_even(3 * (n - 1) / 4.0, 0) AS INT), n - 1)""",
     "failure_states": """SELECT * FROM (VALUES (401, '', 'unavailable_auth_or_plan'), (403, '', 'unavailable_auth_or_plan'), (429, '', 'failed_rate_limited'), (500, '', 'failed_server_error'),
@@ -421,7 +454,8 @@ SELECT g AS relevance_type, id AS article_id FROM p WHERE r <= 10""",
     "first_headlines": f"""WITH {ARTICLE_TIMES}, f AS (SELECT event_category, article_id, utc, row_number() OVER (PARTITION BY event_category ORDER BY utc, article_id) AS rn FROM art WHERE utc IS NOT NULL AND event_category IS NOT NULL)
 SELECT event_category, article_id FROM f WHERE rn = 1 ORDER BY utc, article_id LIMIT 5""",
     "word_freq": _WORDS + " SELECT freq.*, top_event_category FROM freq JOIN lead USING (word)",
-    "word_freq_daily": _WORDS + " SELECT * FROM daily",
+    "word_freq_daily": _WORDS + f""", {sq.FEATS}, cnt AS (SELECT CAST(utc AS DATE) AS utc_date, CAST(timezone('{ZONE}', timezone('UTC', utc)) AS DATE) AS local_date, count(*) AS articles_that_day FROM art WHERE utc IS NOT NULL GROUP BY 1, 2)
+SELECT daily.*, articles_that_day, m.price_move_1pct AS same_date_move_1pct, m.price_move_5pct AS same_date_move_5pct FROM daily JOIN cnt USING (utc_date, local_date) LEFT JOIN (SELECT * FROM feats WHERE ticker = '{sq.PRIMARY}') AS m ON m.trading_date = utc_date""",
     "word_freq_local": _WORDS + " SELECT * FROM loc",
     "top_words": _WORDS + " SELECT * FROM top",
     "lagged_words": _LAG + " SELECT local_date, word, occurrences, articles, next_trading_date, round(r, 6) + 0.0 AS next_return, f AS next_day_price_move_1pct FROM lagged_w",
@@ -441,7 +475,7 @@ SELECT direction, event_category, count(DISTINCT event_date) AS events, round(av
 SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN o ON o_custkey = c_custkey AND rn = 1""",
     "line_shares": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY 1, 2",
     "price_fit": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS correlation, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem GROUP BY 1",
-    "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1998-01-01')",
     "union_of_parties": "SELECT c_name AS name, c_nationkey AS nationkey, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_nationkey, NULL FROM supplier",
     "idle_days": """WITH e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), s AS (SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM e), (SELECT unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM e)),
 g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS run FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.day = s.day))

@@ -149,6 +149,12 @@ def fetch_patiently(fetch, *args, retries: int = 5, base: float = 2.0, most: flo
     return status, body
 
 
+def probe_windows(first: date, last: date, days: int = 2) -> list[tuple[date, date]]:
+    """The windows at both ends of a range that tell whether the provider has it at all."""
+    step = timedelta(days=days - 1)
+    return [(first, min(first + step, last)), (max(last - step, first), last)]
+
+
 def probe_state(count: int | None, status: int | None) -> str:
     """What a probe at an end of the range tells about the provider."""
     if status is None or status >= 400:
@@ -157,10 +163,11 @@ def probe_state(count: int | None, status: int | None) -> str:
 
 
 class WindowedApi(DataSource):
-    """Data source "windowed_api": one partition per request window, read through a user's function.
+    """Data source "windowed_api": request windows read through a user's function, a lane per partition.
 
     Options: ``fetch`` ("module:function" taking ticker, from and to and returning status, list of
-    JSON objects and seconds to wait), ``windows`` (JSON list of [ticker, from, to]), ``pause``.
+    JSON objects and seconds to wait), ``windows`` (JSON list of [ticker, from, to]), ``pause`` (seconds
+    between requests of all tasks together) and ``lanes`` (tasks at a time, 1 by default).
     """
 
     @classmethod
@@ -178,18 +185,20 @@ class _WindowReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.windows = json.loads(options["windows"])
         self.fetch = options["fetch"]
-        self.pause = float(options.get("pause", "1.1"))
+        self.lanes = max(1, min(int(options.get("lanes", "1")), len(self.windows)))
+        # lanes run side by side, so each waits as many times as long: the pace is that of all together
+        self.pause = float(options.get("pause", "1.1")) * self.lanes
 
     def partitions(self):
-        return [InputPartition(w) for w in self.windows]
+        return [InputPartition(self.windows[k :: self.lanes]) for k in range(self.lanes)] if self.windows else []
 
     def read(self, partition):
         if partition is None:  # no windows at all
             return
         module, _, function = self.fetch.partition(":")
-        ticker, first, last = partition.value
-        status, body = fetch_patiently(getattr(importlib.import_module(module), function), ticker, first, last, pause=self.pause)
-        if not body:
-            yield (ticker, first, last, status, None, None)
-        for i, article in enumerate(body or []):
-            yield (ticker, first, last, status, i, json.dumps(article))
+        for ticker, first, last in partition.value:
+            status, body = fetch_patiently(getattr(importlib.import_module(module), function), ticker, first, last, pause=self.pause)
+            if not body:
+                yield (ticker, first, last, status, None, None)
+            for i, article in enumerate(body or []):
+                yield (ticker, first, last, status, i, json.dumps(article))

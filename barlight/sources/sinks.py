@@ -90,6 +90,15 @@ def provenance(spark: SparkSession, inputs: dict[str, DataFrame], sources: list[
     return out
 
 
+def input_ranges(inputs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(name, column, first, last): the range of a column of each input, as text; nulls count for nothing."""
+    out = None
+    for name, (df, column) in inputs.items():
+        got = df.agg(F.min(column).cast("string").alias("first"), F.max(column).cast("string").alias("last")).select(F.lit(name).alias("name"), F.lit(column).alias("column"), "first", "last")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def versions() -> dict[str, str]:
     return {"python": platform.python_version(), "spark": pyspark.__version__, "made_at_utc": now_utc()}
 

@@ -27,6 +27,18 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in keep])
 
 
+def checked_bars(bars: DataFrame, required: list[str], at: str = "loaded_at") -> DataFrame:
+    """``bars`` as scanned, refused (ValueError) if columns are missing, if ``at`` has no zone, or if there is no row."""
+    missing = [c for c in required if c not in bars.columns]
+    if missing:
+        raise ValueError(f"bars lack the columns {', '.join(missing)}")
+    if at in bars.columns and bars.schema[at].dataType.typeName() != "timestamp":
+        raise ValueError(f"{at} has no time zone")
+    if bars.isEmpty():
+        raise ValueError("no bars")
+    return bars
+
+
 def current_bars(bars: DataFrame, columns: list[str]) -> DataFrame:
     """The current bar of each ticker and date: latest ``loaded_at``, then largest ``bar_id``.
 

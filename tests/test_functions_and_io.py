@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barlight.functions import ids, text, urls
 from barlight.functions.similarity import sequence_ratio
 from barlight.operators import themes
-from barlight.sources import landing, sinks
+from barlight.sources import landing, sinks, tables
 from barlight.streaming import feeds
 
 URLS = {
@@ -121,7 +121,7 @@ def test_windowed_source(spark):
     windows = json.dumps([["A", "2025-01-01", "2025-01-07"], ["B", "2025-01-01", "2025-01-07"]])
     df = spark.read.format("windowed_api").options(fetch="json:loads", windows="[]").load()
     assert df.count() == 0
-    assert len(list(landing._WindowReader({"windows": windows, "fetch": f"{__name__}:answer", "pause": "0"}).partitions())) == 2
+    assert len(list(landing._WindowReader({"windows": windows, "fetch": f"{__name__}:answer", "pause": "0", "lanes": "2"}).partitions())) == 2
 
 
 def test_sinks(spark, tmp_path):
@@ -229,3 +229,39 @@ def test_lines_of_one_file_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {f"w{i % 7}": i for i in range(4993, 5000)}
+
+
+def test_envelopes_that_are_not_final_are_left_out(spark):
+    article = ("c", 1767225600, "h", 1, "", "A", "s", "x", "u")
+    rows = [(1, ("news", "A", None, None), "", 200, None, status, final, [article]) for status, final in (("success", True), ("success", False), ("failed_x", True))]
+    env = spark.createDataFrame(rows, landing.ENVELOPE).withColumn("raw_file", F.lit(""))
+    assert landing.envelope_articles(env).count() == 1
+    assert landing.envelope_articles(env, "2026-01-01", "2026-01-01").count() == 1 and landing.envelope_articles(env, "2026-01-02", "2026-01-03").count() == 0
+
+
+def test_bars_are_refused(spark):
+    ok = spark.sql("SELECT 'A' AS ticker, timestamp'2026-01-01 00:00:00' AS loaded_at")
+    assert tables.checked_bars(ok, ["ticker"]).count() == 1
+    for df, columns, why in ((ok, ["volume"], "volume"), (ok.where("false"), ["ticker"], "no bars"), (spark.sql("SELECT 'A' AS ticker, timestamp_ntz'2026-01-01 00:00:00' AS loaded_at"), ["ticker"], "zone")):
+        with pytest.raises(ValueError, match=why):
+            tables.checked_bars(df, columns)
+
+
+def test_lanes_share_one_pace():
+    reader = landing._WindowReader({"windows": json.dumps([["A", str(i), str(i)] for i in range(7)]), "fetch": "x:y", "pause": "1", "lanes": "3"})
+    parts = [p.value for p in reader.partitions()]
+    assert [len(p) for p in parts] == [3, 2, 2] and reader.pause == 3.0
+    assert landing._WindowReader({"windows": "[]", "fetch": "x:y"}).partitions() == []
+    assert landing.probe_windows(dt.date(2025, 10, 1), dt.date(2026, 5, 1)) == [(dt.date(2025, 10, 1), dt.date(2025, 10, 2)), (dt.date(2026, 4, 30), dt.date(2026, 5, 1))]
+
+
+def test_general_queries_without_optional_libraries(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("barlight.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    names = entry.queries()
+    assert "p1_found" in names and "p9_found" not in names

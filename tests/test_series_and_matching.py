@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barlight.operators import coverage, grouping, matching, reports, rules, series, sessions, words
 from barlight.operators.components import connected_components
+from barlight.plans import series_queries
 
 UTC = dt.timezone.utc
 HOLIDAY = dt.date(2025, 9, 1)
@@ -223,3 +224,16 @@ def test_request_plan_of_all_configured_tickers(spark, tiny):
 
     got = {r["ticker"]: r["count"] for r in QUERIES["all_request_plan"](spark, tiny).groupBy("ticker").count().collect()}
     assert got == dict.fromkeys(_TICKERS, 31)
+
+
+def test_next_session_long_before_the_first(spark):
+    sessions = spark.sql("SELECT explode(array(date'2026-03-02', date'2026-03-04', null)) AS s")
+    days = spark.sql("SELECT explode(array(date'2025-08-14', date'2026-03-01', date'2026-03-02', date'2026-03-03', date'2026-03-04', null)) AS d")
+    got = {r.d: r.next_session for r in words.next_session(days, "d", sessions, "s").collect()}
+    a, b = dt.date(2026, 3, 2), dt.date(2026, 3, 4)
+    assert got == {dt.date(2025, 8, 14): a, dt.date(2026, 3, 1): a, a: b, dt.date(2026, 3, 3): b, b: None, None: None}
+
+
+def test_relevance_reaches_the_scan(spark, tiny):
+    plan = series_queries.lookback_match(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "In(relevance_type, [direct,indirect])" in plan
