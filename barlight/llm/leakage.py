@@ -3,12 +3,14 @@
 The evaluation texts are the query set: cut into windows of ``window`` words (a shorter text is one
 window), each with a SimHash. Every document is cut into windows of the same sizes where it is
 scanned. Splitting the 64 bits into radius + 1 blocks, two fingerprints within the radius agree in
-at least one block, so looking up every block finds them all; what is found is then compared exactly.
+at least one block, so looking up every block finds them all. The weighted shingle similarity of
+every candidate is then computed exactly.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,11 +79,62 @@ class Sums:
         return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted shingle similarity: words and neighbouring pairs, shared weight over joint weight."""
+    def shingles(h: np.ndarray) -> Counter:
+        return Counter({**{("w", k): v * ONE for k, v in Counter(h.tolist()).items()}, **{("p", k): v * TWO for k, v in Counter(_pairs(h).tolist() if len(h) > 1 else []).items()}})
+
+    x, y = shingles(a), shingles(b)
+    return (x & y).total() / (x | y).total()
+
+
+def losses(size: int, least: float) -> int:
+    """The greatest weight that a window of ``size`` words can lose at a similarity of ``least``."""
+    whole = size * ONE + (size - 1) * TWO
+    return next(x for x in range(whole, -1, -1) if (whole - x) / (whole + x) >= least)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value of a row."""
+    return np.stack([(x[:, :j] == x[:, j : j + 1]).sum(axis=1) for j in range(x.shape[1])], axis=1) if x.shape[1] else np.zeros(x.shape, np.int64)
+
+
+def _row_pairs(x: np.ndarray) -> np.ndarray:
+    """The neighbouring pairs of each row."""
+    n, m = x.shape
+    flat = _pairs(x.ravel()) if x.size > 1 else np.zeros(0, np.uint64)
+    return np.append(flat, np.uint64(0)).reshape(n, m)[:, : m - 1] if n else np.zeros((0, m - 1), np.uint64)
+
+
 class Windows:
-    """The windows of one size, with an index per block of bits."""
+    """The windows of one size: word hashes in rows, and the item of each."""
+
+    def __init__(self, size: int, rows: np.ndarray, items: np.ndarray) -> None:
+        self.size, self.rows, self.items = size, rows, items
+        self.pairs = _row_pairs(rows)
+        self.word_ranks, self.pair_ranks = _ranks(rows), _ranks(self.pairs)
+
+    def similarities(self, h: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """``similarity`` of the words from each position on with a window each."""
+        whole = self.size * ONE + (self.size - 1) * TWO
+        out = np.zeros(len(at))
+        for k in range(0, len(at), STEP):
+            b = window[k : k + STEP]
+            mine = h[at[k : k + STEP, None] + np.arange(self.size)]
+            # a repeated shingle counts as often as both hold it
+            shared = ((self.rows[b][:, :, None] == mine[:, None, :]).sum(axis=2) > self.word_ranks[b]).sum(axis=1) * ONE
+            if self.size > 1:
+                shared += ((self.pairs[b][:, :, None] == _row_pairs(mine)[:, None, :]).sum(axis=2) > self.pair_ranks[b]).sum(axis=1) * TWO
+            out[k : k + STEP] = shared / (2 * whole - shared)
+        return out
+
+
+class HashedWindows(Windows):
+    """Windows found by their SimHashes, with an index per block of bits."""
 
     def __init__(self, size: int, rows: np.ndarray, items: np.ndarray, radius: int) -> None:
-        self.size, self.rows, self.items, self.radius = size, rows, items, radius
+        super().__init__(size, rows, items)
+        self.radius = radius
         self.prints = np.concatenate([Sums(r).fingerprints(size) for r in rows]) if len(rows) else np.zeros(0, np.uint64)
         self.width = 64 // (radius + 1)
         self.blocks = []
@@ -117,36 +170,18 @@ class Windows:
         both = np.unique(np.concatenate(found))
         return both // len(self.prints), both % len(self.prints)
 
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted shingle similarity: words and neighbouring pairs, shared weight over joint weight."""
-    def shingles(h: np.ndarray) -> Counter:
-        return Counter({**{("w", k): v * ONE for k, v in Counter(h.tolist()).items()}, **{("p", k): v * TWO for k, v in Counter(_pairs(h).tolist() if len(h) > 1 else []).items()}})
-
-    x, y = shingles(a), shingles(b)
-    return (x & y).total() / (x | y).total()
-
-
-def losses(size: int, least: float) -> int:
-    """The greatest weight that a window of ``size`` words can lose at a similarity of ``least``."""
-    whole = size * ONE + (size - 1) * TWO
-    return next(x for x in range(whole, -1, -1) if (whole - x) / (whole + x) >= least)
-
-
-def _ranks(x: np.ndarray) -> np.ndarray:
-    """How many equal values stand before each value of a row."""
-    return np.stack([(x[:, :j] == x[:, j : j + 1]).sum(axis=1) for j in range(x.shape[1])], axis=1) if x.shape[1] else np.zeros(x.shape, np.int64)
+    def verified(self, prints: np.ndarray, h: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in h, window, similarity) of the windows within the radius that are similar."""
+        at, win = self.near(prints)
+        inside = part[at] == part[at + self.size - 1]  # a window doesn't run over into the next text
+        at, win = at[inside], win[inside]
+        s = self.similarities(h, at, win)
+        good = s >= least
+        yield at[good], win[good], s[good]
 
 
-def _row_pairs(x: np.ndarray) -> np.ndarray:
-    """The neighbouring pairs of each row."""
-    n, m = x.shape
-    flat = _pairs(x.ravel()) if x.size > 1 else np.zeros(0, np.uint64)
-    return np.append(flat, np.uint64(0)).reshape(n, m)[:, : m - 1] if n else np.zeros((0, m - 1), np.uint64)
-
-
-class SimilarWindows:
-    """The windows of one size, found by shingles that a similar window can't all lack.
+class SimilarWindows(Windows):
+    """Windows found by shingles that a similar window can't all lack.
 
     A window that keeps the similarity loses at most ``losses`` in weight, so at most that over
     ``TWO`` pairs. One pair more of each window, the rarest among all windows, goes to the table;
@@ -154,9 +189,8 @@ class SimilarWindows:
     """
 
     def __init__(self, size: int, rows: np.ndarray, items: np.ndarray, least: float) -> None:
-        self.size, self.rows, self.items, self.least = size, rows, items, least
-        self.pairs = _row_pairs(rows)
-        self.word_ranks, self.pair_ranks = _ranks(rows), _ranks(self.pairs)
+        super().__init__(size, rows, items)
+        self.least = least
         lost = losses(size, least)
         self.span = 2 if lost // TWO < size - 1 else 1
         shingles, need = (self.pairs, lost // TWO + 1) if self.span == 2 else (rows, min(lost // ONE, size - 1) + 1)
@@ -199,20 +233,12 @@ class SimilarWindows:
         ok = part[p] == part[p + self.size - 1]  # a window doesn't run over into the next text
         both = np.unique(p[ok].astype(np.int64) * len(self.rows) + w[ok])
         p, w = both // len(self.rows), both % len(self.rows)
-        whole = self.size * ONE + (self.size - 1) * TWO
-        for k in range(0, len(p), STEP):
-            a, b = p[k : k + STEP], w[k : k + STEP]
-            mine = h[a[:, None] + np.arange(self.size)]
-            # a repeated shingle counts as often as both hold it
-            shared = ((self.rows[b][:, :, None] == mine[:, None, :]).sum(axis=2) > self.word_ranks[b]).sum(axis=1) * ONE
-            if self.size > 1:
-                shared += ((self.pairs[b][:, :, None] == _row_pairs(mine)[:, None, :]).sum(axis=2) > self.pair_ranks[b]).sum(axis=1) * TWO
-            s = shared / (2 * whole - shared)
-            good = s >= self.least
-            yield a[good], b[good], s[good]
+        s = self.similarities(h, p, w)
+        good = s >= self.least
+        yield p[good], w[good], s[good]
 
 
-def _indexes(items: list[tuple[int, str]], window: int, radius: int, least: float = 1.0) -> list[Windows | SimilarWindows]:
+def _indexes(items: list[tuple[int, str]], window: int, radius: int | None, least: float) -> list[Windows]:
     words, by_size = Words(), {}
     for item, text in items:
         h = words(text)
@@ -222,24 +248,36 @@ def _indexes(items: list[tuple[int, str]], window: int, radius: int, least: floa
             for at in range(len(h) - size + 1):
                 rows[(h[at : at + size].tobytes(), item)] = None
     made = [(s, np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, s), np.array([r[1] for r in rows], np.int64)) for s, rows in by_size.items()]
-    return [Windows(*x, radius) if least >= 1 else SimilarWindows(*x, least) for x in made]
+    return [SimilarWindows(*x, least) if radius is None else HashedWindows(*x, radius) for x in made]
+
 
+#: The indexes a worker made last, by the number of their broadcast; they last over tasks.
+_WORKER: dict[tuple, list[Windows]] = {}
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", window: int = 12, radius: int = 3, least: float = 0.8) -> DataFrame:
+
+def _kept(key: tuple, items: list[tuple[int, str]], window: int, radius: int | None, least: float) -> list[Windows]:
+    if key not in _WORKER:
+        _WORKER.clear()  # one collection of items at a time, so the room stays bounded
+        _WORKER[key] = _indexes(items, window, radius, least)
+    return _WORKER[key]
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", window: int = 12, radius: int | None = None, least: float = 0.8) -> DataFrame:
     """(doc, item, similarity, verbatim) for every document and item with a similar window.
 
     A window is ``window`` consecutive words, or all words of a shorter item. ``similarity`` is the
-    best weighted shingle similarity of the two, at least ``least`` (above 0). Below 1 the candidates
-    come from ``SimilarWindows``, which misses none; at 1 only windows that occur word for word are
-    found, among those whose SimHashes differ in at most ``radius`` bits, as identical windows always
-    do. ``verbatim`` tells whether a window occurs word for word. Texts that are null or have no word match nothing; repeated ids
+    best weighted shingle similarity of the two, at least ``least`` (above 0). With a ``radius`` the
+    candidates are windows whose SimHashes differ in at most so many bits; identical windows always
+    do, of others only some. Without one they come from ``SimilarWindows``, which misses none. Either
+    way every candidate's similarity is computed before it counts. ``verbatim`` tells whether a window
+    occurs word for word. Texts that are null or have no word match nothing; repeated ids
     give one row; an empty table gives none.
 
     Documents are neither shuffled nor collected; only the found pairs are made distinct. The items
     are a stated query set: they go to the tasks in passes of ``PASS_CHARS`` characters, so what is
     broadcast stays below a fixed size however many items there are.
     """
-    if not 0 <= radius <= 15:
+    if radius is not None and not 0 <= radius <= 15:
         raise ValueError("radius must lie between 0 and 15")
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -251,19 +289,20 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str, item: str, te
     for k in range(passes):
         part = asked.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
         sent = sc.broadcast([(r.i, r.t) for r in part.collect()])
+        made = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            indexes = _indexes(sent.value, window, radius, least)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, made=made) -> Iterator[pa.RecordBatch]:
+            indexes = _kept((made,), sent.value, window, radius, least)
             words = Words()
             for batch in batches:
-                yield from _scan(batch, indexes, words, window, doc, item)
+                yield from _scan(batch, indexes, words, window, least, doc, item)
 
         got = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(doc, text).mapInArrow(run, f"`{doc}` {kind}, `{item}` bigint, similarity double, verbatim boolean")
         out = got if out is None else out.unionByName(got)
     return out.groupBy(doc, item).agg(F.max("similarity").alias("similarity"), F.max("verbatim").alias("verbatim"))
 
 
-def _scan(batch: pa.RecordBatch, indexes: list[Windows | SimilarWindows], words: Words, window: int, doc: str, item: str) -> Iterator[pa.RecordBatch]:
+def _scan(batch: pa.RecordBatch, indexes: list[Windows], words: Words, window: int, least: float, doc: str, item: str) -> Iterator[pa.RecordBatch]:
     pieces: list[tuple[int, np.ndarray]] = []
     held = 0
     best: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -273,25 +312,15 @@ def _scan(batch: pa.RecordBatch, indexes: list[Windows | SimilarWindows], words:
         h = np.concatenate([p for _, p in pieces])
         owner = np.repeat(np.array([r for r, _ in pieces]), [len(p) for _, p in pieces])
         part = np.repeat(np.arange(len(pieces)), [len(p) for _, p in pieces])
-        sums = Sums(h) if any(isinstance(ix, Windows) for ix in indexes) else None
+        sums = Sums(h) if any(isinstance(ix, HashedWindows) for ix in indexes) else None
         for ix in indexes:
             if len(h) < ix.size:
                 continue
-            if isinstance(ix, SimilarWindows):
-                for at, win, likes in ix.near(h, part):
-                    same = (h[at[:, None] + np.arange(ix.size)] == ix.rows[win]).all(axis=1)
-                    for r, i, s, v in zip(owner[at].tolist(), ix.items[win].tolist(), likes.tolist(), same.tolist()):
-                        had = best.get((r, i), (0.0, False))
-                        best[(r, i)] = (max(had[0], s), had[1] or v)
-                continue
-            at, win = ix.near(sums.fingerprints(ix.size))
-            inside = part[at] == part[at + ix.size - 1]  # a window doesn't run over into the next text
-            at, win = at[inside], win[inside]
-            same = np.ones(len(at), bool)
-            for j in range(ix.size):
-                same &= h[at + j] == ix.rows[win, j]
-            for r, i in set(zip(owner[at][same].tolist(), ix.items[win][same].tolist())):
-                best[(r, i)] = (1.0, True)
+            for at, win, likes in ix.near(h, part) if isinstance(ix, SimilarWindows) else ix.verified(sums.fingerprints(ix.size), h, part, least):
+                same = (h[at[:, None] + np.arange(ix.size)] == ix.rows[win]).all(axis=1)
+                for r, i, s, v in zip(owner[at].tolist(), ix.items[win].tolist(), likes.tolist(), same.tolist()):
+                    had = best.get((r, i), (0.0, False))
+                    best[(r, i)] = (max(had[0], s), had[1] or v)
         pieces.clear()
         held = 0
 

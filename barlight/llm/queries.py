@@ -76,7 +76,7 @@ def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold 12 consecutive words of an item, or a whole shorter one."""
-    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "item_id", least=1.0)
+    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "item_id", radius=3)
     return found.where(F.col("verbatim")).select("doc_id", "item_id")
 
 

@@ -352,11 +352,13 @@ def test_leaks_match_brute_force(spark):
                 want.add((d, i))
     ddf = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"item_id": F.lit(1), "similarity": F.lit(1)})
     idf = spark.createDataFrame(items, "item_id bigint, text string")
-    out = leaked_items(ddf, idf, "doc_id", "item_id", least=1.0).where("verbatim")
-    got = [(r.doc_id, r.item_id) for r in out.collect()]
+    hashed = leaked_items(ddf, idf, "doc_id", "item_id", radius=3).collect()
+    got = [(r.doc_id, r.item_id) for r in hashed if r.verbatim]
     assert set(got) == want and len(got) == len(want)
     loose = {(r.doc_id, r.item_id): r.similarity for r in leaked_items(ddf, idf, "doc_id", "item_id").collect()}
     assert want <= set(loose) and all(0.8 <= s <= 1 for s in loose.values())
+    # every candidate within the radius is compared: what it yields is among what a search that misses none yields
+    assert all(r.similarity <= loose[(r.doc_id, r.item_id)] + 1e-12 and r.similarity >= 0.8 for r in hashed)
     assert leaked_items(ddf.limit(0), idf.limit(0), "doc_id", "item_id").count() == 0
 
 
@@ -414,13 +416,27 @@ def test_p9_similar_finds_items_with_an_edge_word_changed(spark, tmp_path):
     assert all(r.similarity == pytest.approx(31 / 37) and not r.verbatim for r in got)
 
 
+def test_candidates_within_the_radius_are_verified():
+    """Fingerprints that agree don't make a match: only the shingles of the two windows do."""
+    from barlight.llm.leakage import HashedWindows
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 1 << 62, (5, 12), np.uint64)
+    ix = HashedWindows(12, rows, np.arange(5), 3)
+    h = np.concatenate([rows[2], rng.integers(0, 1 << 62, 30, np.uint64), rows[4][:11], rows[0][:1]])
+    prints = np.repeat(ix.prints[2], len(h) - 11)  # every window is a candidate of the third
+    found = [tuple(x) for at, win, s in ix.verified(prints, h, np.zeros(len(h), int), 0.8) for x in zip(at.tolist(), win.tolist(), s.tolist())]
+    assert found == [(0, 2, 1.0)]
+
+
 def test_leaks_in_several_passes_and_parts(spark, monkeypatch):
     from barlight.llm import leakage
 
     items = spark.createDataFrame([(i, f"alpha{i} beta gamma delta") for i in range(30)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, f"x alpha{i} beta gamma delta y") for i in range(30)], "doc_id bigint, text string")
     monkeypatch.setattr(leakage, "PASS_CHARS", 200)
-    assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items, "doc_id", "item_id", least=1.0).collect()} == {(i, i) for i in range(30)}
+    for radius in (None, 3):
+        assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items, "doc_id", "item_id", radius=radius, least=1.0).collect()} == {(i, i) for i in range(30)}
 
 
 def test_shingle_similarity():
