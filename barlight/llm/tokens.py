@@ -14,8 +14,10 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how text is cut into pieces; merges never cross a cut.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Transitions and pieces kept by a worker; beyond, a table starts anew, which changes no result.
-KEPT, PIECES_KEPT = 200_000, 400_000
+#: Transitions, and pieces and words each, kept by a worker; beyond, a table starts anew, which changes no result.
+KEPT, PIECES_KEPT = 200_000, 250_000
 #: Characters from which a text's pieces are taken one by one.
 LONG = 1_000_000
 #: Above every rank.
@@ -42,32 +44,46 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], pieces: str = PIECES) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.starts = {t[:i] for t in ranks for i in range(1, len(t))}  # proper prefixes of tokens
+        self._spell(ranks)
         self.cut = regex.compile(pieces)
-        self.apart_memo: dict[tuple[int, int], bool] = {}
+        self.apart_memo: dict[int, bool] = {}
         self.whole_memo: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, tuple[int, ...]] = {}
+        # the tokens of a space and a word; with these patterns every single space begins a piece
+        self.words: dict[str, tuple[int, ...]] | None = {} if pieces == PIECES else None
         self._reset()
 
+    def _spell(self, ranks: dict[bytes, int]) -> None:
+        """All prefixes of tokens as numbered nodes: node and byte -> node; the token a node spells, or
+        -1; whether a longer token goes on from it."""
+        self.next, self.token, self.more = {}, [-1], bytearray(b"\1")
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.more[node] = 1
+                node = self.next.setdefault(node << 8 | byte, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+                    self.more.append(0)
+            self.token[node] = rank
+
     def _reset(self) -> None:
-        # per state: byte -> (next state, settled tokens); the tokens to flush if the piece ends; how it was made
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        # state and byte -> next state and settled tokens; per state the tokens to flush if the piece ends, the
+        # last settled token, and for every start that may go on its node and the tokens before it
+        self.jumps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.flush: list[tuple[int, ...]] = []
-        self.made: list[tuple[bytes, int, dict[int, tuple[int, ...]]]] = []
-        self.number: dict[tuple[bytes, int], int] = {}
+        self.made: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = []
+        self.number: dict[tuple, int] = {}
         if len(self.apart_memo) > 4 * KEPT:
             self.apart_memo.clear()
-        self.size = 0
-        self._state(b"", -1, {0: ()})
-
-    def _state(self, pending: bytes, last: int, chains: dict[int, tuple[int, ...]]) -> int:
-        n = self.number.get((pending, last))
-        if n is None:
-            n = self.number[(pending, last)] = len(self.moves)
-            self.moves.append({})
-            self.flush.append(chains[len(pending)])
-            self.made.append((pending, last, chains))
+        self._state((-1, ((0, ()),)), ())
+
+    def _state(self, what: tuple, flush: tuple[int, ...]) -> int:
+        n = self.number.setdefault(what, len(self.made))
+        if n == len(self.made):
+            self.made.append(what)
+            self.flush.append(flush)
         return n
 
     def merged(self, data: bytes, below: int = NEVER) -> list[bytes]:
@@ -108,7 +124,8 @@ class Transducer:
             if ok is None:
                 ok = self.whole_memo[token] = len(self.merged(self.bytes_of[token])) == 1
             return ok
-        ok = self.apart_memo.get((last, token))
+        pair = last << 32 | token
+        ok = self.apart_memo.get(pair)
         if ok is None:
             get = self.ranks.get
             ok = True
@@ -120,36 +137,37 @@ class Transducer:
                         break
                 if not ok:
                     break
-            self.apart_memo[(last, token)] = ok
+            self.apart_memo[pair] = ok
         return ok
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition of a state on a byte."""
-        pending, last, chains = self.made[state]
-        grown = pending + bytes((byte,))
-        ranks, starts, apart, new, live, shortest = self.ranks, self.starts, self.apart_memo, None, {}, NEVER
-        for start, chain in chains.items():
-            tail = grown[start:]
-            if new is None and (token := ranks.get(tail)) is not None:
+        last, live = self.made[state]
+        step, tokens, more, apart, new, kept, shortest = self.next.get, self.token, self.more, self.apart_memo.get, None, [], NEVER
+        for node, chain in live:
+            node = step(node << 8 | byte)
+            if node is None:
+                continue
+            if new is None and (token := tokens[node]) >= 0:
                 before = chain[-1] if chain else last
-                ok = apart.get((before, token))
+                ok = apart(before << 32 | token)
                 if ok or (ok is None and self._follows(before, token)):
                     new = (*chain, token)
-            if tail in starts:
-                live[start] = chain
+            if more[node]:
+                kept.append((node, chain))
                 if len(chain) < shortest:
                     shortest = len(chain)
         if new is None:
             raise ValueError("the vocabulary lacks a single byte")
         out = ()
-        if not live:  # nothing that began before can go on: all is settled
-            out, grown, last, live = new, b"", new[-1], {0: ()}
+        if not kept:  # nothing that began before can go on: all is settled
+            out, new, what = new, (), (new[-1], ((0, ()),))
         else:
-            live[len(grown)] = new
+            kept.append((0, new))
             settled = 0
             while settled < shortest:
                 token = new[settled]
-                for chain in live.values():
+                for _, chain in kept:
                     if chain[settled] != token:
                         break
                 else:
@@ -157,18 +175,16 @@ class Transducer:
                     continue
                 break
             if settled:
-                out = new[:settled]
-                done = sum([len(self.bytes_of[t]) for t in out])
-                grown, last = grown[done:], out[-1]
-                live = {s - done: c[settled:] for s, c in live.items()}
-        move = self.moves[state][byte] = (self._state(grown, last, live), out)
-        self.size += 1
+                out, new, last = new[:settled], new[settled:], new[settled - 1]
+                kept = [(node, chain[settled:]) for node, chain in kept]
+            what = (last, tuple(kept))
+        move = self.jumps[state << 8 | byte] = (self._state(what, new), out)
         return move
 
     def piece(self, data: bytes) -> tuple[int, ...]:
-        state, out, moves = 0, [], self.moves
+        state, out, jumps = 0, [], self.jumps
         for byte in data:
-            move = moves[state].get(byte)
+            move = jumps.get(state << 8 | byte)
             if move is None:
                 move = self._move(state, byte)
             state = move[0]
@@ -176,8 +192,7 @@ class Transducer:
                 out += move[1]
         return (*out, *self.flush[state])
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def _pieces(self, text: str, ids: list[int]) -> list[int]:
         known = self.known
         # a list of all pieces is faster than one match at a time, unless it would be long
         pieces = self.cut.findall(text) if len(text) < LONG else (m.group() for m in self.cut.finditer(text))
@@ -188,10 +203,28 @@ class Transducer:
                 if len(piece) <= 40:
                     known[piece] = got
             ids += got
-        if self.size > KEPT:
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        words = text.split(" ") if self.words is not None and len(text) < LONG else [""]
+        if "" in words or len(text.split()) != len(words):  # spaces in a row, or other white space
+            ids = self._pieces(text, [])
+        else:
+            ids, known = self._pieces(words[0], []), self.words
+            del words[0]
+            for word in words:
+                got = known.get(word)
+                if got is None:
+                    got = tuple(self._pieces(" " + word, []))
+                    if len(word) <= 40:
+                        known[word] = got
+                ids += got
+            if len(known) > PIECES_KEPT:
+                known.clear()
+        if len(self.jumps) > KEPT:
             self._reset()
-        if len(known) > PIECES_KEPT:
-            known.clear()
+        if len(self.known) > PIECES_KEPT:
+            self.known.clear()
         return ids
 
 
@@ -220,6 +253,7 @@ def _transducer(data: bytes) -> Transducer:
     key = hashlib.sha256(data).digest()
     if key not in _WORKER:
         _WORKER[key] = Transducer(read_ranks(data))
+        gc.freeze()  # the vocabulary stays; it need not be looked through
     return _WORKER[key]
 
 
@@ -240,17 +274,19 @@ def encoded(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _transducer(vocabulary.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                # the tables are many small objects without cycles: the collector would only walk them
-                gc.disable()
-                try:
+        # the tables are many small objects without cycles: the collector would only walk them
+        gc.disable()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
                     ids = [t.encode(x) if x else [] for x in part.column(1).to_pylist()]
-                finally:
-                    gc.freeze()
-                    gc.enable()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+                    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, ends[-1])
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
+        finally:
+            gc.enable()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")
 
