@@ -1,6 +1,7 @@
 """Texts that look the same but differ in their characters.
 
-Look-alike characters are mapped by rule and table, then values are grouped under Spark's UNICODE
+Typographic quotes, dashes and the minus sign are drawn unlike the plain ones, as are raised and
+circled forms: they are marks of their own and stay. Look-alike characters are mapped by rule and table, then values are grouped under Spark's UNICODE
 collation, which tells case and accents apart but not composed from decomposed letters or text with
 and without invisible characters.
 """
@@ -18,15 +19,26 @@ from pyspark.sql.types import StringType
 
 from barlight.session import written
 
-#: Letters of other scripts and signs drawn like the Latin letter or sign below them.
+#: Fixed values, by script: letters drawn like the Latin letter below them.
 ALIKE = (
-    ("АВЕІЈКМНОРСТУХЅԚԜаеорсухіјѕһԁԛԝ", "ABEIJKMHOPCTYXSQWaeopcyxijshdqw"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"),
-    ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),
-    ("\xb5‐‑￠￡￥￦", "μ--¢£¥₩"),
+    # Greek
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺͿνορϲϳ", "ABEZHIKMNOPTYXCMJvopcj"),
+    # Cyrillic
+    ("АВЕІЈКМНОРСТУХЅѴҮӀԌԚԜ", "ABEIJKMHOPCTYXSVYIGQW"),
+    ("аеорсухіјѕһѵүӏԁԛԝ", "aeopcyxijshvyldqw"),
+    # Armenian
+    ("ՍՕհոսօ", "UOhnuo"),
+    # Cherokee
+    ("ᎠᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏩᏴ", "DAJEWMHYGZRWVSLCPKGB"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Latin letters for phonetic use
+    ("ɡᴄᴏᴠᴡᴢ", "gcovwz"),
+    # signs
+    ("\xb5‐‑", "μ--"),
 )
-#: One character drawn like several.
-SEVERAL = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
+#: Compatibility characters drawn like several letters, or like another one.
+COMPAT = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫⅬⅭⅮⅯⅰⅱⅲⅳⅴⅵⅶⅷⅸⅹⅺⅻⅼⅽⅾⅿĲĳǄǅǆǇǈǉǊǋǌǱǲǳﬀﬁﬂﬃﬄﬅﬆ‥…"
 _PICTURE = "[\u2600-\u27bf\U0001f000-\U0001faff]"
 #: A joiner between two pictures makes one picture of them.
 _JOINED = re.compile(f"({_PICTURE}\ufe0f?)\u200d(?={_PICTURE})")
@@ -34,27 +46,33 @@ _JOINED = re.compile(f"({_PICTURE}\ufe0f?)\u200d(?={_PICTURE})")
 
 @cache
 def _table() -> dict[int, str | None]:
-    """One table for a single pass over a text: gaps become spaces, invisible characters go, full-width
-    forms of printable ASCII become plain by rule, look-alikes by the tables above."""
+    """One table for a single pass over a text: gaps become spaces, invisible characters go, full-width,
+    half-width and font forms (mathematical letters) become plain by their Unicode decomposition, the
+    characters of the tables above by these."""
     table: dict[int, str | None] = {}
+    alike = {ord(x): y for a, b in ALIKE for x, y in zip(a, b, strict=True)}
     for c in (*range(0x20000), *range(0xE0000, 0xE1000)):
         kind = unicodedata.category(chr(c))
         if chr(c).isspace() or kind in ("Zs", "Zl", "Zp"):
             table[c] = " "
         elif kind in ("Cf", "Cc") or c in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= c <= 0x180F or 0xFE00 <= c <= 0xFE0F:
             table[c] = None
-        elif 0xFF01 <= c <= 0xFF5E:
-            table[c] = chr(c - 0xFEE0)
-    for a, b in ALIKE:
-        table.update(zip(map(ord, a), b))
-    return table | {ord(k): v for k, v in SEVERAL.items()}
+        else:
+            kind, _, parts = unicodedata.decomposition(chr(c)).partition(" ")
+            if kind in ("<wide>", "<narrow>", "<font>") or kind == "<compat>" and chr(c) in COMPAT:
+                plain = unicodedata.normalize("NFKD", chr(c)) if kind == "<compat>" else "".join(chr(int(x, 16)) for x in parts.split())
+                table[c] = plain.translate(alike)
+    return table | alike
 
 
 @cache
 def _special() -> re.Pattern[str]:
     """Anything that mapping or canonical order may change, gaps aside: most texts hold none of it."""
     marks = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]
-    points = sorted({c for c, to in _table().items() if to != " " and c < 0x10000} | set(marks) | {0x37E, 0x1FEF, 0x212A})
+    table = _table()
+    # letters with marks whose plain letter is mapped
+    composed = [c for c in range(0xC0, 0x10000) if c not in table and any(table.get(ord(x), " ") != " " for x in unicodedata.normalize("NFD", chr(c)))]
+    points = sorted({c for c, to in table.items() if to != " " and c < 0x10000} | set(marks) | set(composed) | {0x37E, 0x1FEF, 0x212A})
     # within the basic plane the class is a bitmap; all characters beyond it count as special
     return re.compile("[" + "".join(f"\\u{c:04x}" for c in points) + "]|[\U00010000-\U0010ffff]")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm.leakage import leaked_items
-from barlight.llm.lookalikes import ALIKE, lookalike_members, lookalike_pairs
+from barlight.llm.lookalikes import lookalike_members, lookalike_pairs
 from barlight.llm.nearest import article_bars
 from barlight.llm.neardups import SimilarSets
 from barlight.llm.survivors import surviving_members, surviving_records
@@ -123,12 +126,26 @@ near AS (SELECT article_id, bar_id, epoch_us(utc) - c AS gap, row_number() OVER
   FROM art JOIN closes ON ticker = provider_related AND abs(epoch_us(utc) - c) <= 72000000000)
 """
 
-_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
-_FROM = "".join(a for a, _ in ALIKE) + "ӓӧӱёӗӑїӒӦӰЁѐЀЇόὸὰΆΈΊΌΎΪΫᾺῈῸῚ" + _WIDE[0]
-_TO = "".join(b for _, b in ALIKE) + "äöÿëĕăïÄÖŸËèÈÏóòὰÁÉÍÓÝÏŸÀÈÒÌ" + _WIDE[1]
+# written by Latin letter, apart from the operator's table, which is by script
+_DRAWN_ALIKE = {
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝ", "G": "ԌᏀᏩꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀꓲ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦꓗ", "L": "Ꮮꓡ", "M": "ΜМϺᎷꓟ",
+    "N": "Νꓠ", "O": "ΟОՕꓳ", "P": "ΡРᏢꓑ", "Q": "Ԛ", "R": "Ꮢꓣ", "S": "ЅᏚꓢ", "T": "ΤТꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ", "X": "ΧХꓫ", "Y": "ΥУҮᎽꓬ", "Z": "ΖᏃꓜ",
+    "a": "а", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵᴠ", "w": "ԝᴡ", "x": "х", "y": "уү", "z": "ᴢ",
+    "μ": "\xb5", "-": "‐‑",
+}
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_SINGLE = [(x, k) for k, v in _DRAWN_ALIKE.items() for x in v]
+_SINGLE += list(zip("ӓӧӱёӗӑїӒӦӰЁѐЀЇόὸὰΆΈΊΌΎΪΫᾺῈῸῚ", "äöÿëĕăïÄÖŸËèÈÏóòὰÁÉÍÓÝÏŸÀÈÒÌ"))  # composed: this side maps composed text
+_SINGLE += [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + list(zip("￠￡￥￦", "¢£¥₩"))
+_SINGLE += [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFF61, 0xFFA0)]
+_SINGLE += [(chr(0x1D400 + 52 * k + i), x) for k in range(13) for i, x in enumerate(_PLAIN)] + [(chr(0x1D7CE + 10 * k + i), str(i)) for k in range(5) for i in range(10)]
+_SINGLE += list(zip("ℂℊℋℌℍℎℐℑℒℓℕℙℚℛℜℝℤℨℬℭℯℰℱℳℴℹ", "CgHHHhIILlNPQRRRZZBCeEFMoi")) + list(zip("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"))
+_LONGER = dict(zip("ﬀﬁﬂﬃﬄﬅﬆ", ["ff", "fi", "fl", "ffi", "ffl", "st", "st"])) | {"…": "...", "‥": "..", "Ĳ": "IJ", "ĳ": "ij", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž"}
+_LONGER |= dict(zip("ⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶⅷⅸⅺⅻ", "II III IV VI VII VIII IX XI XII ii iii iv vi vii viii ix xi xii".split()))
+_FROM, _TO = ("".join(x[i] for x in _SINGLE).replace("'", "''") for i in (0, 1))
 _SEEN = "nfc_normalize(regexp_replace(text, '[\\p{Cf}\\x{FE00}-\\x{FE0F}]', '', 'g'))"
 _ALIKE_SQL = f"""
-WITH mapped AS (SELECT doc_id, text, nfc_normalize(replace(replace(replace(translate({_SEEN}, '{_FROM}', '{_TO}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...')) AS m FROM documents WHERE text IS NOT NULL),
+WITH mapped AS (SELECT doc_id, text, nfc_normalize({reduce(lambda x, y: f"replace({x}, '{y[0]}', '{y[1]}')", _LONGER.items(), f"translate({_SEEN}, '{_FROM}', '{_TO}')")}) AS m FROM documents WHERE text IS NOT NULL),
 shown AS (SELECT doc_id, text, trim(regexp_replace(m, '[\\s\\p{{Z}}]+', ' ', 'g')) AS s FROM mapped)
 """
 _SETS_SQL = """

@@ -486,3 +486,16 @@ def test_every_problem_has_its_query_and_sql_agrees(spark):
         columns = [c[0] for c in want.description]
         assert got.columns == columns
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name
+
+
+@pytest.mark.parametrize(("other", "plain"), [
+    ("ν", "v"), ("ρ", "p"), ("ѵ", "v"), ("ӏ", "l"), ("օ", "o"), ("ո", "n"), ("ս", "u"), ("հ", "h"), ("Ꭺ", "A"), ("Ꭼ", "E"), ("ꓮ", "A"), ("ɡ", "g"), ("ᴏ", "o"), ("𝐀", "A"), ("𝗮", "a"), ("𝟙", "1"),
+    ("𝚨", "A"), ("ℓ", "l"), ("ｱ", "ア"), ("ｶﾞ", "ガ"), ("Ａ", "A"), ("１", "1"), ("￥", "¥"), ("ﬁ", "fi"), ("ﬅ", "st"), ("ﬆ", "st"), ("Ⅷ", "VIII"), ("ǆ", "dž"), ("…", "..."), ("‑", "-"), ("а", "a"), ("ё", "ë"),
+])
+def test_characters_drawn_alike(other, plain):
+    assert shown_text(f"x{other}y") == unicodedata.normalize("NFC", f"x{plain}y")
+
+
+@pytest.mark.parametrize("other", ["α", "ß", "’", "“", "−", "–", "²", "①", "ı", "æ", "в", "и", "א", "漢"])
+def test_characters_of_their_own(other):
+    assert shown_text(f"x{other}y") == f"x{other}y"
