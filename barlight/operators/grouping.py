@@ -60,31 +60,58 @@ def merged_observations(rows: DataFrame, row: str = "obs_id") -> DataFrame:
     return out.select("article_key", "queried_tickers", *[F.col(f"_best.{c}").alias(c) for c in carried], "retrieved_at_utc", "raw_observation_count", F.coalesce("related_tags", F.lit("")).alias("related_tags"), group_id.alias("exact_duplicate_group_id"))
 
 
-def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2) -> DataFrame:
+#: Words known to be frequent, at most: they only decide in which order words are looked at.
+HOT = 100
+#: What normalised texts consist of.
+_SIGNS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def _rare_first(words: DataFrame) -> Column:
+    """The column ``words`` with rare words first, and the most frequent ones of the table last.
+
+    Any order that is the same for all rows serves; this one is bounded by ``HOT`` words.
+    """
+    often = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(HOT)
+    hot = [r.w for r in often.collect()][::-1]
+    place = F.array(*map(F.lit, hot)).cast("array<string>")
+    return F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.array_position(place, w).alias("p"), w.alias("w")))), lambda x: x["w"])
+
+
+def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, tokens, jaccard, ratio): pairs of items published within ``hours`` whose headlines share
     enough words and are similar by their words or their characters.
 
-    Candidates meet on a blocking word within time slices as wide as the window, so a frequent word
-    is spread over time and a pair can only lie in the same or the next slice. Each pair counts its
-    shared words; the Python comparison of characters runs only where the words alone don't decide.
-    ``a`` is the later item (ties by key), which the ratio takes first.
+    Candidates meet on a blocking word (``extra`` words block nothing) within time slices as wide as
+    the window, so a frequent word is spread over time and a pair can only lie in the same or the
+    next slice. As ``shared`` words must be common, each headline leaves out its ``shared`` - 1 most
+    frequent ones: a pair still meets on its rarest. The Python comparison of characters runs only
+    where the words alone don't decide and the characters in common allow the ratio. ``a`` is the
+    later item (ties by key), which the ratio takes first.
     """
     span = hours * 3_600_000_000
-    cols = [F.col(key).alias("k"), F.col(at).alias("t"), F.col("headline").alias("h")]
-    rows = written(items.where(F.col(at).isNotNull()).select(*cols).withColumn("words", blocking_tokens(F.col("h"))), "headlines")
-    word = rows.select("k", "t", F.explode("words").alias("w")).withColumn("slice", F.floor(F.col("t") / F.lit(span)))
+    cols = [F.col(key).alias("k"), F.col(at).alias("t"), normalize_text(F.col("headline")).alias("n"), headline_tokens(F.col("headline")).alias("tokens"), blocking_tokens(F.col("headline"), extra).alias("words")]
+    rows = items.where(F.col(at).isNotNull()).select(*cols).where(F.size("words") >= shared)
+    signs = F.array(*[F.length("n") - F.length(F.replace(F.col("n"), F.lit(c), F.lit(""))) for c in _SIGNS])
+    rows = written(rows.withColumn("signs", signs), "headlines")
+    few = rows.select("k", "t", F.slice(_rare_first(rows), F.lit(1), F.size("words") - (shared - 1)).alias("words"))
+    word = few.select("k", "t", F.explode("words").alias("w")).withColumn("slice", F.floor(F.col("t") / F.lit(span)))
     near = word.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "w", F.explode(F.array(F.col("slice"), F.col("slice") + 1)).alias("slice"))
     later = (F.col("t") > F.col("t2")) | ((F.col("t") == F.col("t2")) & (F.col("k") > F.col("k2")))
     met = word.join(near, ["w", "slice"]).where(later & (F.col("t") - F.col("t2") <= span))
-    pairs = met.groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= shared)
-    text = rows.select("k", "h")
-    both = pairs.join(text.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(text.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
-    both = written(both.withColumn("jaccard", jaccard(headline_tokens(F.col("ha")), headline_tokens(F.col("hb")))), "near-headlines")
+    pairs = met.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+    side = lambda x: rows.select(F.col("k").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "words", "signs")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("tokens", F.size(F.array_intersect("words_a", "words_b"))).where(F.col("tokens") >= shared)
+    likes = jaccard(F.col("tokens_a"), F.col("tokens_b"))
+    # the ratio is at most the characters in common, whatever their order
+    common = F.aggregate(F.zip_with("signs_a", "signs_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    long = F.length("n_a") + F.length("n_b")
+    # lengths alone rule out most pairs
+    can = F.when(2 * F.least(F.length("n_a"), F.length("n_b")) < sequence * long, False).otherwise(2 * common >= sequence * long - 1e-9)
+    both = both.withColumn("jaccard", likes).where((F.col("jaccard") >= token) | can).select("a", "b", F.col("tokens").cast("bigint").alias("tokens"), "jaccard", "n_a", "n_b")
+    both = written(both, "near-headlines")
     sure = both.where(F.col("jaccard") >= token).select("a", "b", "tokens", "jaccard", F.lit(None).cast("double").alias("ratio"))
-    # a ratio of r needs lengths within r / (2 - r) of each other
-    na, nb = normalize_text(F.col("ha")), normalize_text(F.col("hb"))
-    open_ = both.where((F.col("jaccard") < token) & (2 * F.least(F.length(na), F.length(nb)) >= sequence * (F.length(na) + F.length(nb))))
-    rest = open_.withColumn("ratio", sequence_ratio_from(na, nb, sequence)).where(F.col("ratio") >= sequence).select("a", "b", "tokens", "jaccard", "ratio")
+    open_ = both.where(F.col("jaccard") < token)
+    rest = open_.withColumn("ratio", sequence_ratio_from(F.col("n_a"), F.col("n_b"), sequence)).where(F.col("ratio") >= sequence).select("a", "b", "tokens", "jaccard", "ratio")
     return sure.unionByName(rest)
 
 
