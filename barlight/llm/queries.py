@@ -12,7 +12,7 @@ from barlight.llm.leakage import leaked_items
 from barlight.llm.lookalikes import lookalike_members, lookalike_pairs
 from barlight.llm.nearest import article_bars
 from barlight.llm.neardups import SimilarSets
-from barlight.llm.survivors import surviving_members, surviving_records
+from barlight.llm.survivors import best_records, surviving_members, surviving_records
 from barlight.llm.terms import term_counts
 from barlight.llm.tokens import decoded, encoded
 from barlight.plans.sql_times import ARTICLE_TIMES
@@ -53,6 +53,11 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(table(spark, folder, "articles"), table(spark, folder, "feeds"))
 
 
+def p5_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole record of each duplicate group that is most complete, trusted and recent."""
+    return best_records(table(spark, folder, "articles"), table(spark, folder, "feeds"))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return article_bars(table(spark, folder, "articles"), all_bars(spark, folder), table(spark, folder, "session_calendar"), table(spark, folder, "feeds"))
 
@@ -98,7 +103,7 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_members(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "canonical", "variants")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_gaps": p7_gaps}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_records": p5_records, "p5_best": p5_best, "p7_found": p7_found, "p7_gaps": p7_gaps}
 QUERIES |= {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_similar": p9_similar, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 _TERMS_SQL = """
@@ -165,6 +170,10 @@ reach AS (SELECT DISTINCT set_id AS x, set_id AS y FROM own UNION SELECT reach.x
 SELECT article_id, set_id, (SELECT min(y) FROM reach WHERE x = set_id) AS group_id, (SELECT count(*) FROM edges WHERE x = set_id) AS links FROM own""",
     "p5_found": _SURVIVORS_SQL + "SELECT duplicate_group_id, field_name, article_id FROM winners",
     "p5_records": _SURVIVORS_SQL + "SELECT duplicate_group_id, " + ", ".join(f"min(CASE WHEN field_name = '{f}' THEN v END) AS {f}" for f in ("headline", "summary", "url", "image_url")) + " FROM winners GROUP BY duplicate_group_id",
+    "p5_best": f"WITH {ARTICLE_TIMES}, f AS (SELECT *, " + " + ".join(f"CAST(NOT ({c} IS NULL OR {_MISSING.format(c)}) AS INT)" for c in ("headline", "summary", "url", "image_url"))
+    + """ AS filled FROM art WHERE duplicate_group_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY duplicate_group_id ORDER BY filled DESC, trust_rank NULLS LAST, utc DESC NULLS LAST, article_id) AS rn, count(*) OVER (PARTITION BY duplicate_group_id) AS members FROM f)
+SELECT duplicate_group_id, article_id, filled, members FROM r WHERE rn = 1 AND members > 1""",
     "p7_found": _NEAREST_SQL + "SELECT article_id, bar_id FROM near WHERE rn = 1",
     "p7_gaps": _NEAREST_SQL + "SELECT article_id, bar_id, gap / 1e6 AS seconds_after FROM near WHERE rn = 1",
     "p4_found": _TERMS_SQL + "SELECT term, mark FROM marked WHERE mark <> 'kept'",

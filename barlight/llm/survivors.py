@@ -40,6 +40,23 @@ def surviving_members(articles: DataFrame, feeds: DataFrame, fields: list[str] =
     return first.join(sizes, "duplicate_group_id", "left_semi").select("duplicate_group_id", "field_name", "article_id")
 
 
+def best_records(articles: DataFrame, feeds: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """(duplicate_group_id, article_id, filled, members): the one record that stands for its group.
+
+    For every non-null group of two or more rows: the row with most of the ``fields`` filled, then of
+    the most trusted source (unknown ones last), then the latest (unusable times last), then the
+    smallest id. Rows that repeat an id tie and give one row; an empty table gives none. As in
+    ``surviving_members`` only ids and ranks are shuffled, and a task keeps one row per group.
+    """
+    articles = articles.select("duplicate_group_id", "article_id", "source", "published_at_utc", *fields).where(F.col("duplicate_group_id").isNotNull())
+    filled = sum(((~missing(F.col(f))).cast("int") for f in fields), F.lit(0))
+    ranked = article_instants(articles.withColumn("filled", filled).drop(*fields), feeds).select("duplicate_group_id", "article_id", "filled", "trust_rank", "published_micros")
+    best = Window.partitionBy("duplicate_group_id").orderBy(F.desc("filled"), F.asc_nulls_last("trust_rank"), F.desc_nulls_last("published_micros"), F.asc("article_id"))
+    first = ranked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= 1)
+    sizes = articles.groupBy("duplicate_group_id").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= 2)
+    return first.join(sizes, "duplicate_group_id").select("duplicate_group_id", "article_id", "filled", "members")
+
+
 def surviving_records(articles: DataFrame, feeds: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """One row per group with the surviving value of every field (null if all are missing).
 

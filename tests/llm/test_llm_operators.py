@@ -16,7 +16,7 @@ from barlight.llm.leakage import leaked_items, similarity
 from barlight.llm.lookalikes import lookalike_members, lookalike_pairs, shown_text
 from barlight.llm.neardups import SimilarSets, VantageForest
 from barlight.llm.nearest import HOUR, article_bars, nearest_in_time
-from barlight.llm.survivors import surviving_members, surviving_records
+from barlight.llm.survivors import best_records, surviving_members, surviving_records
 from barlight.llm.terms import term_counts
 from barlight.llm.tokens import VOCABULARY, StreamingDecoder, Transducer, decoded, encoded, read_ranks
 
@@ -499,3 +499,20 @@ def test_characters_drawn_alike(other, plain):
 @pytest.mark.parametrize("other", ["α", "ß", "’", "“", "−", "–", "²", "①", "ı", "æ", "в", "и", "א", "漢"])
 def test_characters_of_their_own(other):
     assert shown_text(f"x{other}y") == f"x{other}y"
+
+
+def test_best_records(spark):
+    late, early = "2026-01-02T00:00:00Z", "2026-01-01T00:00:00Z"
+    rows = [
+        ("complete", 1, "z", early, "h", "s", "u", None), ("complete", 2, "a", late, "h", "s", "n/a", " "),
+        ("trust", 4, None, late, "h", None, None, None), ("trust", 3, "a", early, "h", "--", None, None),
+        ("recent", 5, "a", early, "h", None, None, None), ("recent", 6, "a", late, "h", None, None, None), ("recent", 7, "a", "no time", "h", None, None, None),
+        ("tie", 9, None, None, None, None, None, None), ("tie", 8, None, None, None, None, None, None), ("tie", 8, None, None, None, None, None, None),
+        ("alone", 10, "a", late, "h", "s", "u", "i"), (None, 11, "a", late, "h", "s", "u", "i"), (None, 12, "a", late, "h", "s", "u", "i"),
+    ]
+    a = spark.createDataFrame(rows, "duplicate_group_id string, article_id bigint, source string, published_at_utc string, headline string, summary string, url string, image_url string")
+    a = a.withColumns({"filled": F.lit(9), "members": F.lit(9), "trust_rank": F.lit(0)})
+    feeds = spark.createDataFrame([("a", "UTC", False, 1), ("z", "UTC", False, 5)], "source string, feed_zone string, day_first boolean, trust_rank int")
+    got = {r.duplicate_group_id: (r.article_id, r.filled, r.members) for r in best_records(a, feeds).collect()}
+    assert got == {"complete": (1, 3, 2), "trust": (3, 1, 2), "recent": (6, 1, 3), "tie": (8, 0, 3)}
+    assert best_records(a.limit(0), feeds).count() == 0
