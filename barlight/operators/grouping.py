@@ -41,23 +41,25 @@ def merged_observations(rows: DataFrame, row: str = "obs_id") -> DataFrame:
     The values come from the observation with most filled fields, then the longest summary and
     headline, then the smallest ``row``. Tickers and related tags are joined as sorted sets, the
     earliest retrieval and the number of observations are kept, and the id is the least text among
-    the group's ids.
+    the group's ids. Groups share neither ids nor addresses, so the least of each tell a group.
+
+    Only ids and short columns go through the groups; texts are fetched for the chosen rows
+    afterwards. Sets hold tickers and tags, whose number doesn't grow with a group. ``row`` is unique.
     """
     groups = exact_groups(rows, row, ["article_id", "normalized_url"])
     quality = F.struct(filled_fields([c for c in rows.columns if c != row]).alias("a"), F.length(F.coalesce("summary", F.lit(""))).alias("b"), F.length(F.coalesce("headline", F.lit(""))).alias("c"), (-F.col(row)).alias("d"))
     carried = ["headline", "summary", "source", "url", "normalized_url", "datetime", "category", "image"]
-    joined = rows.join(groups, row).withColumn("_q", quality)
+    small = rows.select(row, F.col("article_id").cast("string").alias("article_id"), F.nullif("normalized_url", F.lit("")).alias("_url"), "queried_ticker", "related", "retrieved_at_utc", quality.alias("_q"))
+    joined = small.join(groups, row)
     tags = joined.select("group", F.explode(split_tags(F.col("related"))).alias("tag")).groupBy("group").agg(F.array_join(F.array_sort(F.collect_set("tag")), "|").alias("related_tags"))
-    ids = F.array_sort(F.collect_set(F.col("article_id").cast("string")))
     merged = joined.groupBy("group").agg(
-        F.max_by(F.struct(*carried), "_q").alias("_best"), F.min(F.col("article_id").cast("string")).alias("article_key"),
+        F.max_by(row, "_q").alias(row), F.min("article_id").alias("article_key"),
         F.array_join(F.array_sort(F.collect_set(F.nullif("queried_ticker", F.lit("")))), "|").alias("queried_tickers"),
-        F.min("retrieved_at_utc").alias("retrieved_at_utc"), F.count(F.lit(1)).alias("raw_observation_count"),
-        ids.alias("_ids"), F.array_sort(F.collect_set(F.nullif("normalized_url", F.lit("")))).alias("_urls"),
+        F.min("retrieved_at_utc").alias("retrieved_at_utc"), F.count(F.lit(1)).alias("raw_observation_count"), F.min("_url").alias("_url"),
     )
-    group_id = stable_id("exact", [F.array_join("_ids", ","), F.array_join("_urls", ",")])
-    out = merged.join(tags, "group", "left")
-    return out.select("article_key", "queried_tickers", *[F.col(f"_best.{c}").alias(c) for c in carried], "retrieved_at_utc", "raw_observation_count", F.coalesce("related_tags", F.lit("")).alias("related_tags"), group_id.alias("exact_duplicate_group_id"))
+    group_id = stable_id("exact", [F.col("article_key"), F.col("_url")])
+    out = merged.join(tags, "group", "left").join(rows.select(row, *carried), row)
+    return out.select("article_key", "queried_tickers", *carried, "retrieved_at_utc", "raw_observation_count", F.coalesce("related_tags", F.lit("")).alias("related_tags"), group_id.alias("exact_duplicate_group_id"))
 
 
 #: Words known to be frequent, at most: they only decide in which order words are looked at.

@@ -63,7 +63,7 @@ def stable_ids(spark, d):
 def merged_observations(spark, d):
     """Observations merged by article id or address."""
     raw = table(spark, d, "raw_articles").withColumn("normalized_url", urls.normalize_url(F.col("url")))
-    return grouping.merged_observations(raw)
+    return grouping.merged_observations(raw).withColumn("retrieved_at_utc", F.unix_micros("retrieved_at_utc"))
 
 
 def exact_group_sizes(spark, d):
@@ -84,6 +84,11 @@ def event_groups(spark, d):
     return grouping.event_groups(sq.articles(spark, d), "article_id", "published_micros")
 
 
+def word_event_groups(spark, d):
+    """The same with headlines alike by their words only, which SQL can check."""
+    return grouping.event_groups(sq.articles(spark, d), "article_id", "published_micros", sequence=1.01)
+
+
 def monthly_counts(spark, d):
     """Articles per month with zero months, by relevance."""
     a = sq.articles(spark, d).withColumn("day", F.to_date(F.timestamp_micros("published_micros")))
@@ -330,7 +335,7 @@ def exact_texts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalized_texts, normalized_documents, normalized_urls, term_hits, classify, entity_tags, stable_ids, merged_observations, exact_group_sizes, headline_edges,
-    event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, signal_violations, stratified_sample, sample_composition, first_headlines, evenly_spaced,
+    event_groups, word_event_groups, monthly_counts, reason_counts, status_counts, large_groups, article_contract, reconciliation, signals_absent, signal_violations, stratified_sample, sample_composition, first_headlines, evenly_spaced,
     word_freq, word_freq_daily, word_freq_local, top_words, lagged_words, word_fits, daily_mean_occurrences, asof_next_session, tfidf_weights, topic_words, topic_shares,
     category_shares, request_plan, all_request_plan, failure_states, orders_per_customer, line_shares, price_fit, customers_without_orders, union_of_parties, idle_days, exact_texts,
 )}
@@ -486,4 +491,20 @@ SELECT user_id, min(day) AS from_day, max(day) AS to_day, count(*) AS days FROM
     + ", ".join(f"a{i} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY a) AS l FROM l{i}), l{i + 1} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY u) AS l FROM a{i})" for i in range(4))
     + ", g AS (SELECT l, count(*) AS n FROM l4 GROUP BY l) SELECT n, count(*) AS groups FROM g GROUP BY n",
 }
+SQL["word_event_groups"] = SQL["headline_edges"].replace(f"WITH {sq.ITEMS}", f"WITH RECURSIVE {sq.ITEMS}").replace("SELECT a, b, tokens, round(s, 6) AS jaccard FROM j WHERE s >= 0.78", """, e AS (SELECT a AS x, b AS y FROM j WHERE s >= 0.78 UNION ALL SELECT b, a FROM j WHERE s >= 0.78),
+reach AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y), comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+g AS (SELECT art.*, coalesce(c, article_id) AS grp FROM art LEFT JOIN comp ON x = article_id),
+r AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, first_value(article_id) OVER (PARTITION BY grp ORDER BY coalesce(excluded, 'false'), CASE WHEN relevance_type = 'not_relevant' THEN 1 ELSE 0 END, utc NULLS LAST, length(coalesce(summary, '')) DESC, CAST(article_id AS VARCHAR), article_id) AS rep FROM g)
+SELECT article_id, 'event_' || substr(sha256(CAST(grp AS VARCHAR)), 1, 16) AS event_group_id, n AS event_group_size, rep AS representative_id, rep = article_id AS is_representative,
+  CASE WHEN rep <> article_id AND coalesce(excluded, 'false') <> 'true' THEN 'duplicate_event_coverage' END AS added_exclusion FROM r""")
+_FILLED = " + ".join(f"CAST(coalesce(CAST({c} AS VARCHAR), '') <> '' AS INT)" for c in ("window_id", "queried_ticker", "article_id", "category", '"datetime"', "headline", "summary", "source", "related", "url", "image", "retrieved_at_utc", "normalized_url"))
+SQL["merged_observations"] = f"""WITH nu AS (SELECT obs_id, url AS normalized_url FROM ({SQL['normalized_urls']})), r AS (SELECT * FROM raw_articles JOIN nu USING (obs_id)),
+l0 AS (SELECT obs_id, coalesce(CAST(article_id AS VARCHAR), 'o' || obs_id) AS a, coalesce(nullif(normalized_url, ''), 'o' || obs_id) AS u, obs_id AS l FROM r), """
+SQL["merged_observations"] += ", ".join(f"a{i} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY a) AS l FROM l{i}), l{i + 1} AS (SELECT obs_id, a, u, min(l) OVER (PARTITION BY u) AS l FROM a{i})" for i in range(4))
+SQL["merged_observations"] += f""", j AS (SELECT r.*, l, row_number() OVER (PARTITION BY l ORDER BY {_FILLED} DESC, length(coalesce(summary, '')) DESC, length(coalesce(headline, '')) DESC, obs_id) AS rn FROM r JOIN l4 USING (obs_id)),
+tags AS (SELECT l, string_agg(DISTINCT tag, '|' ORDER BY tag) AS related_tags FROM (SELECT l, trim(unnest(string_split_regex(related, '[;,]'))) AS tag FROM j) WHERE tag <> '' GROUP BY l),
+g AS (SELECT l, min(CAST(article_id AS VARCHAR)) AS article_key, coalesce(string_agg(DISTINCT nullif(queried_ticker, ''), '|' ORDER BY nullif(queried_ticker, '')), '') AS queried_tickers, epoch_us(min(retrieved_at_utc)) AS retrieved_at_utc, count(*) AS raw_observation_count,
+  min(nullif(normalized_url, '')) AS urls FROM j GROUP BY l)
+SELECT article_key, queried_tickers, headline, summary, source, url, normalized_url, "datetime", category, image, g.retrieved_at_utc, raw_observation_count, coalesce(related_tags, '') AS related_tags, 'exact_' || substr(sha256(coalesce(article_key, 'None') || chr(31) || coalesce(urls, 'None')), 1, 16) AS exact_duplicate_group_id
+FROM g JOIN j ON j.l = g.l AND rn = 1 LEFT JOIN tags ON tags.l = g.l"""
 SQL["all_request_plan"] = SQL["request_plan"].replace("['QVLT', 'MNEX']", "[" + ", ".join(f"'{t}'" for t in sq._TICKERS) + "]")
