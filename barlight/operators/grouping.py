@@ -123,14 +123,15 @@ def event_groups(items: DataFrame, key: str, at: str, **thresholds) -> DataFrame
     Only relevant items with a time take part; all others stay alone. The representative is the
     first by (excluded, not relevant, published, longest summary, canonical key).
     """
+    # what is needed of an item, once: its time is costly to read, and it is looked at several times
+    canon = canonical_key(F.col(key), F.col("normalized_url"), F.col("published_at_utc"), F.col("headline"))
+    items = written(items.select(key, at, "headline", "relevance_type", "excluded", F.length(F.coalesce("summary", F.lit(""))).alias("_length"), canon.alias("_canon")), "event-items")
     eligible = items.where(F.col("relevance_type").isin("direct", "indirect") & F.col(at).isNotNull())
     parts = connected_components(similar_edges(eligible, key, at, **thresholds), "a", "b").select(F.col("node").alias(key), "component")
-    placed = items.join(parts, key, "left").withColumn("_group", F.coalesce("component", key)).drop("component")
-    canon = canonical_key(F.col(key), F.col("normalized_url"), F.col("published_at_utc"), F.col("headline"))
-    placed = placed.withColumn("_canon", canon)
+    placed = written(items.drop("headline").join(parts, key, "left").withColumn("_group", F.coalesce("component", key)).drop("component"), "event-members")
     rank = Window.partitionBy("_group").orderBy(
         F.coalesce(F.col("excluded").cast("string"), F.lit("false")), F.when(F.col("relevance_type") == "not_relevant", 1).otherwise(0),
-        F.col(at).asc_nulls_last(), F.length(F.coalesce("summary", F.lit(""))).desc(), "_canon", key,
+        F.col(at).asc_nulls_last(), F.desc("_length"), "_canon", key,
     )
     first = placed.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= 1).select("_group", F.col(key).alias("representative_id"))
     sizes = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("event_group_size"), F.min("_canon").alias("_least"))

@@ -110,10 +110,11 @@ def daily_mean(lagged: DataFrame, value: str) -> DataFrame:
     return lagged.groupBy("local_date").agg(F.avg(value).alias("mean_value"))
 
 
-def word_fits(lagged: DataFrame, words: DataFrame, value: str = "next_day_close_to_close_return") -> DataFrame:
-    """Per word: correlation and straight line of the value over the daily count, null unless there
-    are two or more days with different counts."""
-    rows = lagged.join(words.select("word"), "word", "left_semi").where(F.col(value).isNotNull()).select("word", F.col("occurrences").cast("double").alias("x"), F.col(value).alias("y"))
+def word_fits(lagged: DataFrame, words: DataFrame | None = None, value: str = "next_day_close_to_close_return") -> DataFrame:
+    """Per word (of ``words``, if given): correlation and straight line of the value over the daily
+    count, null unless there are two or more days with different counts."""
+    some = lagged if words is None else lagged.join(words.select("word"), "word", "left_semi")
+    rows = some.where(F.col(value).isNotNull()).select("word", F.col("occurrences").cast("double").alias("x"), F.col(value).alias("y"))
     ok = (F.count("x") > 1) & (F.min("x") < F.max("x"))
     # corr() and regr_slope() raise on a constant side under ANSI rules
     slope = F.try_divide(F.covar_pop("x", "y"), F.var_pop("x"))

@@ -210,10 +210,10 @@ def top_words(spark, d):
     return words.top_words(word_freq(spark, d)).select("word", "total_occurrences")
 
 
-def _lagged(spark, d, only: DataFrame | None = None):
+def _lagged(spark, d, only: list[str] | None = None):
     rows = _words(spark, d)
     if only is not None:  # the few words asked for, before anything is counted
-        rows = rows.join(F.broadcast(only.select("word")), "word", "left_semi")
+        rows = rows.where(F.col("word").isin(only))
     f = sq.features(spark, d).where(F.col("ticker") == sq.PRIMARY)
     sessions = f.select(F.col("trading_date").alias("session_date"))
     return words.lagged_words(words.by_local_day(_daily(rows)), sessions, f)
@@ -226,8 +226,8 @@ def lagged_words(spark, d):
 
 def word_fits(spark, d):
     """Correlation and line of the next move over a leading word's daily count."""
-    top = top_words(spark, d)
-    fits = words.word_fits(_lagged(spark, d, top), top)
+    top = [r.word for r in top_words(spark, d).collect()]  # twelve
+    fits = words.word_fits(_lagged(spark, d, top))
     return fits.select("word", "days", *[(F.round(c, 6) + 0.0).alias(c) for c in ("correlation", "slope", "intercept")])
 
 
