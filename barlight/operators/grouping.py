@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.ids import canonical_key, stable_id
-from barlight.functions.similarity import sequence_ratio_from
-from barlight.functions.text import blocking_tokens, headline_tokens, jaccard, normalize_text, split_tags
+from barlight.functions.text import BLOCKING_STOPWORDS, HEADLINE_STOPWORDS, blocking_tokens, normalize_text, split_tags
 from barlight.operators.components import connected_components
-from barlight.session import written
+from barlight.operators.headlines import Search
+from barlight.session import discard, written
 
 
 def filled_fields(columns: list[str]) -> Column:
@@ -62,59 +62,42 @@ def merged_observations(rows: DataFrame, row: str = "obs_id") -> DataFrame:
     return out.select("article_key", "queried_tickers", *carried, "retrieved_at_utc", "raw_observation_count", F.coalesce("related_tags", F.lit("")).alias("related_tags"), group_id.alias("exact_duplicate_group_id"))
 
 
-#: Words known to be frequent, at most: they only decide in which order words are looked at.
-HOT = 100
-#: What normalised texts consist of.
-_SIGNS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+#: Rows of a time slice that are compared in one unit; more are split into blocks, every pair of
+#: blocks being a unit.
+BLOCK = 1 << 15
 
 
-def _rare_first(words: DataFrame) -> Column:
-    """The column ``words`` with rare words first, and the most frequent ones of the table last.
-
-    Any order that is the same for all rows serves; this one is bounded by ``HOT`` words.
-    """
-    often = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(HOT)
-    hot = [r.w for r in often.collect()][::-1]
-    place = F.array(*map(F.lit, hot)).cast("array<string>")
-    return F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.array_position(place, w).alias("p"), w.alias("w")))), lambda x: x["w"])
-
-
-def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
+def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2, extra: tuple[str, ...] = (), by: tuple[str, ...] = ("words", "characters")) -> DataFrame:
     """(a, b, tokens, jaccard, ratio): pairs of items published within ``hours`` whose headlines share
     enough words and are similar by their words or their characters.
 
-    Candidates meet on a blocking word (``extra`` words block nothing) within time slices as wide as
-    the window, so a frequent word is spread over time and a pair can only lie in the same or the
-    next slice. As ``shared`` words must be common, each headline leaves out its ``shared`` - 1 most
-    frequent ones: a pair still meets on its rarest. The Python comparison of characters runs only
-    where the words alone don't decide and the characters in common allow the ratio. ``a`` is the
-    later item (ties by key), which the ratio takes first.
+    Time slices are as wide as the window, so a pair can only lie in the same or the next slice. A
+    row goes to its own slice and, as the earlier side, to the next; all pairs are looked at within
+    the task that holds a slice, see ``Search``, so only similar pairs leave it. Blocking words
+    (``extra`` words are none) are those that must be shared. The ratio is taken only where the words
+    don't decide and is null elsewhere; of ``by``, one may be left out where its pairs aren't asked for.
+    ``a`` is the later item (ties by key), which the ratio takes first.
     """
     span = hours * 3_600_000_000
-    cols = [F.col(key).alias("k"), F.col(at).alias("t"), normalize_text(F.col("headline")).alias("n"), headline_tokens(F.col("headline")).alias("tokens"), blocking_tokens(F.col("headline"), extra).alias("words")]
-    rows = items.where(F.col(at).isNotNull()).select(*cols).where(F.size("words") >= shared)
-    signs = F.array(*[F.length("n") - F.length(F.replace(F.col("n"), F.lit(c), F.lit(""))) for c in _SIGNS])
-    rows = written(rows.withColumn("signs", signs), "headlines")
-    few = rows.select("k", "t", F.slice(_rare_first(rows), F.lit(1), F.size("words") - (shared - 1)).alias("words"))
-    word = few.select("k", "t", F.explode("words").alias("w")).withColumn("slice", F.floor(F.col("t") / F.lit(span)))
-    near = word.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "w", F.explode(F.array(F.col("slice"), F.col("slice") + 1)).alias("slice"))
-    later = (F.col("t") > F.col("t2")) | ((F.col("t") == F.col("t2")) & (F.col("k") > F.col("k2")))
-    met = word.join(near, ["w", "slice"]).where(later & (F.col("t") - F.col("t2") <= span))
-    pairs = met.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
-    side = lambda x: rows.select(F.col("k").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "words", "signs")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("tokens", F.size(F.array_intersect("words_a", "words_b"))).where(F.col("tokens") >= shared)
-    likes = jaccard(F.col("tokens_a"), F.col("tokens_b"))
-    # the ratio is at most the characters in common, whatever their order
-    common = F.aggregate(F.zip_with("signs_a", "signs_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    long = F.length("n_a") + F.length("n_b")
-    # lengths alone rule out most pairs
-    can = F.when(2 * F.least(F.length("n_a"), F.length("n_b")) < sequence * long, False).otherwise(2 * common >= sequence * long - 1e-9)
-    both = both.withColumn("jaccard", likes).where((F.col("jaccard") >= token) | can).select("a", "b", F.col("tokens").cast("bigint").alias("tokens"), "jaccard", "n_a", "n_b")
-    both = written(both, "near-headlines")
-    sure = both.where(F.col("jaccard") >= token).select("a", "b", "tokens", "jaccard", F.lit(None).cast("double").alias("ratio"))
-    open_ = both.where(F.col("jaccard") < token)
-    rest = open_.withColumn("ratio", sequence_ratio_from(F.col("n_a"), F.col("n_b"), sequence)).where(F.col("ratio") >= sequence).select("a", "b", "tokens", "jaccard", "ratio")
-    return sure.unionByName(rest)
+    size = F.size(blocking_tokens(F.col("headline"), extra))
+    rows = items.where(F.col(at).isNotNull() & (size >= max(shared, 1))).select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t"), normalize_text(F.col("headline")).alias("n"))
+    rows = written(rows.withColumn("s", F.floor(F.col("t") / F.lit(span))), "headlines")
+    held = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    ends = held.select("s", "c", F.col("c").alias("o")).unionByName(held.select((F.col("s") + 1).alias("s"), "c", F.lit(0).alias("o")))
+    blocks = lambda n: F.ceil(F.sum(n) / F.lit(BLOCK))
+    # per slice, the blocks of its own rows and of those with the slice before
+    parts = ends.groupBy("s").agg(blocks("o").alias("mo"), blocks("c").alias("mn")).where(F.col("mo") > 0)
+    to = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).withColumn("s", F.col("s") + F.col("d")).join(parts, "s")
+    i, j = (F.pmod(F.xxhash64("k"), m) for m in ("mo", "mn"))
+    unit = lambda i, j, role: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(role).cast("int").alias("role"))
+    near = F.transform(F.sequence(F.lit(0), F.col("mo") - 1), lambda x: unit(x, j, 2))
+    own = F.transform(F.sequence(F.lit(0), F.col("mn") - 1), lambda x: unit(i, x, 1))
+    one = (F.col("mo") == 1) & (F.col("mn") == 1)
+    units = F.when(F.col("d") == 1, near).when(one, F.array(unit(F.lit(0), F.lit(0), 3))).otherwise(F.concat(own, near))
+    sent = to.select("s", F.explode(units).alias("u"), "k", "t", "n").select("s", "u.i", "u.j", "u.role", "k", "t", "n")
+    search = Search(HEADLINE_STOPWORDS, BLOCKING_STOPWORDS + list(extra), sequence, token, span, shared, by)
+    kind = rows.schema["k"].dataType.simpleString()
+    return sent.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(search, f"a {kind}, b {kind}, tokens bigint, jaccard double, ratio double")
 
 
 def event_groups(items: DataFrame, key: str, at: str, **thresholds) -> DataFrame:
@@ -129,6 +112,7 @@ def event_groups(items: DataFrame, key: str, at: str, **thresholds) -> DataFrame
     eligible = items.where(F.col("relevance_type").isin("direct", "indirect") & F.col(at).isNotNull())
     parts = connected_components(similar_edges(eligible, key, at, **thresholds), "a", "b").select(F.col("node").alias(key), "component")
     placed = written(items.drop("headline").join(parts, key, "left").withColumn("_group", F.coalesce("component", key)).drop("component"), "event-members")
+    discard(items)
     rank = Window.partitionBy("_group").orderBy(
         F.coalesce(F.col("excluded").cast("string"), F.lit("false")), F.when(F.col("relevance_type") == "not_relevant", 1).otherwise(0),
         F.col(at).asc_nulls_last(), F.desc("_length"), "_canon", key,

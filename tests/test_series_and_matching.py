@@ -168,6 +168,73 @@ def test_event_groups_pick_one_representative(spark):
     assert got[2].added_exclusion == "duplicate_event_coverage" and got[2].representative_id == 1 and got[1].added_exclusion is None
 
 
+def _brute_edges(rows, sequence, token, span):
+    import difflib
+    import re
+
+    from barlight.functions.text import BLOCKING_STOPWORDS, HEADLINE_STOPWORDS
+
+    norm = [re.sub("[^a-z0-9]+", " ", h.lower()).strip() for _, _, h in rows]
+    tokens = [{w for w in n.split(" ") if len(w) > 1} - set(HEADLINE_STOPWORDS) for n in norm]
+    out = {}
+    for i, (a, t, _) in enumerate(rows):
+        for j, (b, u, _) in enumerate(rows):
+            shared = len((tokens[i] & tokens[j]) - set(BLOCKING_STOPWORDS))
+            if i == j or shared < 2 or not ((0 < t - u <= span) or (t == u and a > b)):
+                continue
+            alike = len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j])
+            ratio = None if alike >= token else difflib.SequenceMatcher(None, norm[i], norm[j]).ratio()
+            if ratio is None or ratio >= sequence:
+                out[a, b] = (shared, alike, ratio)
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 15, 9])
+def test_similar_edges_match_brute_force(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(grouping, "BLOCK", block, raising=False)
+    rng, hour = random.Random(2), 3_600_000_000
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(60)] + ["shares", "news", "the", "at"]
+    base = [rng.choices(words, k=rng.randint(2, 13)) for _ in range(40)] + [["filler", "word", *rng.choices(words, k=24), "x" * 60]]
+    rows = []
+    for i in range(240):
+        h = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k = rng.randrange(len(h))
+            h[k] = rng.choice([rng.choice(words), h[k][:-1] + "q", h[k].upper() + "!"])
+        rows.append((f"k{i}", rng.choice([-1, 0, 1, 3, 71, 72, 73, 144, 145, 500]) * hour + rng.choice([0, 0, 1]), " ".join(h)))
+    rows[0] = ("k0", rows[0][1], "é \u2014 1 2")
+    df = spark.createDataFrame([*rows, ("none", 0, None), ("late", None, rows[1][2])], "id string, at bigint, headline string")
+    got = grouping.similar_edges(df, "id", "at").collect()
+    want = _brute_edges(rows, 0.86, 0.78, 72 * hour)
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == set(want)
+    assert all((r.tokens, r.jaccard, r.ratio) == want[r.a, r.b] for r in got)
+    assert any(r.ratio is None for r in got) and any(r.ratio is not None for r in got)
+
+
+def test_candidate_pairs_of_headlines_are_not_written(spark, monkeypatch):
+    """Headlines of one pattern with the same letters: each pair is a candidate, none is similar."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(200):
+        letters = list("abcdefghijklmnopqrstuvwxyz" * 2)
+        rng.shuffle(letters)
+        rows.append((i, "direct", "router deal " + "".join(letters), "", f"u{i}", i))
+    df = spark.createDataFrame(rows, "article_id bigint, relevance_type string, headline string, summary string, normalized_url string, at bigint").withColumns({"excluded": F.lit("false"), "published_at_utc": F.col("at").cast("string")})
+    sizes, plain = [], grouping.written
+
+    def written(table, label="step"):
+        out = plain(table, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(grouping, "written", written)
+    assert grouping.event_groups(df, "article_id", "at").where("event_group_size = 1").count() == 200
+    assert max(sizes) == 200
+
+
 def test_rules(spark):
     r = rules.DEFAULT
     rows = [
