@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm.terms import TERM, joined_text
 from barlight.operators.components import connected_components
-from barlight.session import discard, written
+from barlight.session import discard, stored, written
 
 #: Bits of a fingerprint, 64 or 128. More bits leave fewer candidates to compare, and longer rows to shuffle.
 BITS = 128
@@ -47,6 +48,11 @@ LEAF = 16
 RECORDS, HELD = 2000, 20_000
 #: Pairs of branches followed at once, and pairs of rows compared at once.
 STEP = 1 << 16
+#: Bytes of shards' rows, or of terms, shuffled at once in a small collection; in a larger one as many as
+#: the table of sets has. What is more goes in passes, whose shuffle files are removed one after another.
+PASS = 64_000_000
+#: Passes in which copies of a set are left out, and links verified, at most; bytes of a shard's row once compressed.
+OWNERS, ROW = 6, 32
 
 #: What a shard holds of a record: key, number of terms, how many of them stand before the shard's
 #: and are not shared, and the fingerprint of those after it, packed into one value.
@@ -203,11 +209,12 @@ class Shards:
     ``order`` has a rank per counter, rare terms having low ones; terms are ordered by it, then by
     hash. ``states`` has per counter, for shards of one shared term, of two and so on, whether they
     hold one record (0), some (1) or too many (2), which are replaced by those of one more term.
-    That decision belongs to the shard, so both sides of a pair follow it to the same shard.
+    That decision belongs to the shard, so both sides of a pair follow it to the same shard. Of
+    ``parts`` of all shards, by the first term shared, only those of one ``part`` are given.
     """
 
-    def __init__(self, least: float, order: np.ndarray, states: list[np.ndarray]) -> None:
-        self.least, self.order, self.states = least, order, states
+    def __init__(self, least: float, order: np.ndarray, states: list[np.ndarray], part: int = 0, parts: int = 1) -> None:
+        self.least, self.order, self.states, self.part, self.parts = least, order, states, part, parts
 
     def of(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Ordered terms of records of n terms each; for shards of one term, of two and so on, the
@@ -217,6 +224,8 @@ class Shards:
         first = np.cumsum(n) - n
         reach = n - np.ceil(self.least * n - _EPS).astype(np.int64) + 1
         at = _ranges(first, reach)
+        if self.parts > 1:
+            at = at[_mix(terms[at]) % np.uint64(self.parts) == self.part]
         shard, out = terms[at], []
         for depth, state in enumerate(self.states, 1):
             judged = state[shard >> _SHIFT]
@@ -382,6 +391,15 @@ def _sets(batches: Iterator[pa.RecordBatch], fewest: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], names=["key", "d1", "d2", "terms"])
 
 
+def _split(table: DataFrame, column: str, parts: int) -> list[DataFrame]:
+    """The table in so many parts, rows of the same value being in the same one."""
+    return [table] if parts == 1 else [table.where(F.pmod(F.xxhash64(column), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 class SimilarSets:
     """The similar records of a collection; ``members`` and ``links`` are written tables.
 
@@ -399,33 +417,52 @@ class SimilarSets:
         # as a table its size is known: small, it is broadcast and no terms are shuffled; large, it is not
         first = written(keyed.groupBy("d1", "d2").agg(F.min("key").alias("set_id")), "first-keys")
         self.members = written(keyed.join(first, ["d1", "d2"]).select("key", "set_id"), "members")
-        own = (rows.key == first.set_id) & (rows.d1 == first.d1) & (rows.d2 == first.d2)
-        sets = written(rows.join(first, own, "left_semi").select("key", "terms"), "sets")
+        passes = min(OWNERS, -(-stored(rows) // PASS) or 1)
+        tables = []
+        for one, ids in zip(_split(rows, "key", passes), _split(first, "set_id", passes)):
+            own = (one.key == ids.set_id) & (one.d1 == ids.d1) & (one.d2 == ids.d2)
+            tables.append(written(one.join(ids, own, "left_semi").select("key", "terms"), "sets"))
         discard(rows, first)
-        found = written(self._candidates(sets, fewest, least), "found")
-        candidates = written(self._searched(found, least), "candidates")
-        ends = written(candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct(), "ends")
-        self.links = written(self._verified(sets.join(ends, "key", "left_semi"), candidates, least), "links")
-        discard(sets, found, candidates, ends)
+        sets, most = _union(tables), max(PASS, sum(map(stored, tables)))
+        found = self._found(sets, fewest, least, most)
+        candidates = written(self._searched(_union(found), least), "candidates")
+        discard(*found)
+        # a pair takes the terms of both its sets along
+        passes = min(OWNERS, -(-candidates.count() * ROW * 32 // most) or 1)
+        links = []
+        for some in _split(candidates, "a", passes):
+            ends = written(some.select(F.col("a").alias("key")).union(some.select("b")).distinct(), "ends")
+            links.append(written(self._verified(sets.join(ends, "key", "left_semi"), some, least), "links"))
+            discard(ends)
+        self.links = _union(links)
+        discard(*tables, candidates)
 
     @staticmethod
-    def _candidates(sets: DataFrame, fewest: int, least: float) -> DataFrame:
+    def _found(sets: DataFrame, fewest: int, least: float, most: int) -> list[DataFrame]:
+        """What the trees find, a table for each pass over some of the shards."""
         sc = sets.sparkSession.sparkContext
         often = _counted(sets, lambda key, terms, n: terms)
         order = np.minimum(8 * np.log2(np.maximum(often, 1)), 255).astype(np.uint8)
         states: list[np.ndarray] = []
+        total = 0
         # similar records share so many terms at least, so shards of no more than these hold them
         for depth in range(1, max(1, min(TERMS, int(np.ceil(least * fewest - _EPS)))) + 1):
             sent = sc.broadcast(Shards(least, order, states))
             held = _counted(sets, lambda key, terms, n, sent=sent: sent.value.of(terms, n)[1][-1][1])
             states = [*states, (held > 1).astype(np.uint8) + (held > SHARD)]
+            total += int(held[states[-1] == 1].sum())
             if not (held > SHARD).any():
                 break
         else:
+            total += int(held[states[-1] == 2].sum())
             states[-1] = np.minimum(states[-1], 1)  # no further term: these are split into blocks
-        sent = sc.broadcast(Shards(least, order, states))
-        rows = sets.mapInArrow(lambda batches: (b for x in _parts(batches) for b in sent.value.rows(*x)), _ROWS_DDL)
-        return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_Search(least, SHARD), _OUT_DDL)
+        out, passes = [], -(-total * ROW // most) or 1
+        for part in range(passes):
+            sent = sc.broadcast(Shards(least, order, states, part, passes))
+            rows = sets.mapInArrow(lambda batches, sent=sent: (b for x in _parts(batches) for b in sent.value.rows(*x)), _ROWS_DDL)
+            out.append(written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_Search(least, SHARD), _OUT_DDL), "found"))
+            sent.unpersist()
+        return out
 
     @staticmethod
     def _searched(found: DataFrame, least: float) -> DataFrame:

@@ -87,3 +87,9 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         target = _path(spark, table.written_to)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(table: DataFrame) -> int:
+    """Bytes of a table made by ``written``."""
+    target = _path(table.sparkSession, table.written_to)
+    return target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()

@@ -73,6 +73,20 @@ def test_similar_sets_of_common_terms_only(spark):
     assert {(r.a, r.b) for r in SimilarSets(df, "article_id", ["headline", "summary"]).pairs().collect()} == _pairs(rows)
 
 
+def test_shards_in_passes(spark, monkeypatch):
+    """Shards, sets and links come in several passes, and none is lost."""
+    monkeypatch.setattr(neardups, "PASS", 8000, raising=False)
+    labels, plain = [], neardups.written
+    monkeypatch.setattr(neardups, "written", lambda table, label: (labels.append(label), plain(table, label))[1])
+    rng = random.Random(7)
+    words = [f"b{i}" for i in range(40)]
+    rows = [(i, None, " ".join(rng.sample(words, rng.randint(34, 40)) + [f"only{i}"])) for i in range(150)]
+    got = [(r.a, r.b) for r in SimilarSets(spark.createDataFrame(rows, ARTICLE), "article_id", ["headline", "summary"]).pairs().collect()]
+    want = _pairs(rows)
+    assert set(got) == want and len(got) == len(want) and len(want) > 1000
+    assert labels.count("found") > 1 and labels.count("sets") > 1
+
+
 @pytest.mark.parametrize("terms", [1, 2, 4])
 def test_shards_too_large(spark, monkeypatch, terms):
     """Records of one boilerplate: shards of further shared terms take over, and blocks where none is left."""
