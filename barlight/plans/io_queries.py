@@ -146,7 +146,7 @@ def state_texts(spark, d):
 
 def headline_ratios(spark, d):
     """Pairs of headlines that only their characters show to be similar."""
-    e = grouping.similar_edges(sq.relevant(spark, d), "article_id", "published_micros")
+    e = grouping.similar_edges(sq.relevant(spark, d), "article_id", "published_micros", by=("characters",))
     return e.where(F.col("ratio").isNotNull()).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
