@@ -75,7 +75,7 @@ def exact_group_sizes(spark, d):
 
 def headline_edges(spark, d):
     """Pairs of headlines of 72 hours that are similar by their words."""
-    e = grouping.similar_edges(sq.relevant(spark, d), "article_id", "published_micros")
+    e = grouping.similar_edges(sq.relevant(spark, d), "article_id", "published_micros", by=("words",))
     return e.where(F.col("jaccard") >= 0.78).select("a", "b", "tokens", F.round("jaccard", 6).alias("jaccard"))
 
 
