@@ -67,7 +67,7 @@ def merged_observations(rows: DataFrame, row: str = "obs_id") -> DataFrame:
 BLOCK = 1 << 15
 
 
-def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2, extra: tuple[str, ...] = (), by: tuple[str, ...] = ("words", "characters")) -> DataFrame:
+def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, token: float = 0.78, hours: int = 72, shared: int = 2, extra: tuple[str, ...] = (), by: tuple[str, ...] = ("words", "characters"), linked: bool = False) -> DataFrame:
     """(a, b, tokens, jaccard, ratio): pairs of items published within ``hours`` whose headlines share
     enough words and are similar by their words or their characters.
 
@@ -77,6 +77,9 @@ def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, t
     (``extra`` words are none) are those that must be shared. The ratio is taken only where the words
     don't decide and is null elsewhere; of ``by``, one may be left out where its pairs aren't asked for.
     ``a`` is the later item (ties by key), which the ratio takes first.
+
+    Where a headline recurs, its pairs grow with the square of its rows. ``linked`` gives pairs (a, b) that
+    connect the same items instead, at most one for each row that a task holds.
     """
     span = hours * 3_600_000_000
     size = F.size(blocking_tokens(F.col("headline"), extra))
@@ -95,9 +98,9 @@ def similar_edges(items: DataFrame, key: str, at: str, sequence: float = 0.86, t
     one = (F.col("mo") == 1) & (F.col("mn") == 1)
     units = F.when(F.col("d") == 1, near).when(one, F.array(unit(F.lit(0), F.lit(0), 3))).otherwise(F.concat(own, near))
     sent = to.select("s", F.explode(units).alias("u"), "k", "t", "n").select("s", "u.i", "u.j", "u.role", "k", "t", "n")
-    search = Search(HEADLINE_STOPWORDS, BLOCKING_STOPWORDS + list(extra), sequence, token, span, shared, by)
+    search = Search(HEADLINE_STOPWORDS, BLOCKING_STOPWORDS + list(extra), sequence, token, span, shared, by, linked)
     kind = rows.schema["k"].dataType.simpleString()
-    return sent.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(search, f"a {kind}, b {kind}, tokens bigint, jaccard double, ratio double")
+    return sent.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(search, f"a {kind}, b {kind}" + ("" if linked else ", tokens bigint, jaccard double, ratio double"))
 
 
 def event_groups(items: DataFrame, key: str, at: str, **thresholds) -> DataFrame:
@@ -110,7 +113,7 @@ def event_groups(items: DataFrame, key: str, at: str, **thresholds) -> DataFrame
     canon = canonical_key(F.col(key), F.col("normalized_url"), F.col("published_at_utc"), F.col("headline"))
     items = written(items.select(key, at, "headline", "relevance_type", "excluded", F.length(F.coalesce("summary", F.lit(""))).alias("_length"), canon.alias("_canon")), "event-items")
     eligible = items.where(F.col("relevance_type").isin("direct", "indirect") & F.col(at).isNotNull())
-    parts = connected_components(similar_edges(eligible, key, at, **thresholds), "a", "b").select(F.col("node").alias(key), "component")
+    parts = connected_components(similar_edges(eligible, key, at, linked=True, **thresholds), "a", "b").select(F.col("node").alias(key), "component")
     placed = written(items.drop("headline").join(parts, key, "left").withColumn("_group", F.coalesce("component", key)).drop("component"), "event-members")
     discard(items)
     rank = Window.partitionBy("_group").orderBy(

@@ -2,7 +2,9 @@
 
 Rows are sent to a few units each, where all pairs are looked at; no candidate pair is shuffled or
 written, only pairs that are similar leave a task. So what is moved grows with the rows, however
-many headlines follow one pattern. The bounds used to skip pairs never skip a similar one.
+many headlines follow one pattern. The bounds used to skip pairs never skip a similar one. Where
+only groups are asked for, a task joins its similar rows and a row leaves it once at most, however
+often a headline recurs.
 """
 
 from __future__ import annotations
@@ -175,16 +177,64 @@ class Texts:
                 yield x[hit // len(z)], z[hit % len(z)]
 
 
+class Parts:
+    """Parts of the rows of a unit; ``first`` has the least row of every row's part."""
+
+    def __init__(self, rows: int) -> None:
+        self.first = np.arange(rows)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            a, b = self.first[a], self.first[b]
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.first, np.maximum(a, b), np.minimum(a, b))
+            while (self.first != (least := self.first[self.first])).any():
+                self.first = least
+
+
+class Runs:
+    """Rows of one text whose times follow each other within ``span``. All rows of a run are linked, and
+    two runs of similar texts have rows within ``span`` if there is no more between the runs themselves."""
+
+    def __init__(self, of: np.ndarray, time: np.ndarray, texts: int, span: int) -> None:
+        self.span, self.by = span, np.lexsort((time, of))
+        text, at = of[self.by], time[self.by]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (at[1:] - at[:-1] > span)
+        self.run = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        self.row, self.first, self.last = self.by[start], at[start], at[np.append(start[1:], len(at)) - 1]
+        self.count = np.bincount(text[start], minlength=texts)
+        self.start = np.cumsum(self.count) - self.count
+
+    def within(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every row with the first of its run."""
+        return self.by, self.row[self.run]
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A row of each of two linked runs of pairs of similar texts."""
+        for part in _chunks(self.count[x] * self.count[y]):
+            p, q = x[part], y[part]
+            one, other = _ranges(self.start[p], self.count[p]), np.repeat(q, self.count[p])
+            one, other = np.repeat(one, self.count[other]), _ranges(self.start[other], self.count[other])
+            ok = np.maximum(self.first[one], self.first[other]) - np.minimum(self.last[one], self.last[other]) <= self.span
+            yield self.row[one[ok]], self.row[other[ok]]
+
+
 class Search:
     """Consumes rows (s, i, j, role, k, t, n) sorted by unit (s, i, j); yields similar pairs.
 
     In a unit every own row (role 1 or 3) is compared with every near one (role 2 or 3), of which
     those not later, by time and then by key, and within ``span`` count. ``by`` words, characters or
     both: pairs with a Jaccard similarity of ``token``, and those below it with a ratio of ``sequence``.
+    With ``linked``, (a, b) join the same rows as these pairs, one at most for each row of a unit.
     """
 
-    def __init__(self, stop: list[str], block: list[str], sequence: float, token: float, span: int, shared: int, by: tuple[str, ...]) -> None:
-        self.stop, self.block, self.sequence, self.token, self.span, self.least, self.by = stop, block, sequence, token, span, max(shared, 1), by
+    def __init__(self, stop: list[str], block: list[str], sequence: float, token: float, span: int, shared: int, by: tuple[str, ...], linked: bool = False) -> None:
+        self.stop, self.block, self.sequence, self.token, self.span, self.least, self.by, self.linked = stop, block, sequence, token, span, max(shared, 1), by, linked
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -224,7 +274,7 @@ class Search:
             used.append(np.flatnonzero(count))
         if not len(used[0]) or not len(used[1]):
             return
-        sizes = texts.tokens.size
+        sizes, parts = texts.tokens.size, Parts(len(time))
 
         def measured(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
             tokens = texts.blocking.shared(x, y)
@@ -236,8 +286,14 @@ class Search:
         if "words" in self.by and self.token <= 1:
             x, y, tokens, alike = measured(*texts.by_words(*used, self.token))
             ok = alike >= self.token
-            for a, b, p in self._rows(sides, x[ok], y[ok], time, rank):
-                yield self._out(key, a, b, tokens[ok][p], alike[ok][p], pa.nulls(len(a), pa.float64()))
+            if self.linked:
+                runs = Runs(of, time, len(texts.texts), self.span)
+                parts.join(*runs.within())
+                for a, b in runs.between(x[ok], y[ok]):
+                    parts.join(a, b)
+            else:
+                for a, b, p in self._rows(sides, x[ok], y[ok], time, rank):
+                    yield self._out(key, a, b, tokens[ok][p], alike[ok][p], pa.nulls(len(a), pa.float64()))
         if "characters" in self.by and self.sequence <= 1:
             for x, y in _gathered(texts.by_characters(*used, tuple(seen), self.span)):
                 x, y, tokens, alike = measured(x, y)
@@ -248,12 +304,21 @@ class Search:
                 x, y, tokens, alike = x[ok], y[ok], tokens[ok], alike[ok]
                 known: dict[int, float] = {}
                 for a, b, p in self._rows(sides, x, y, time, rank):
+                    if self.linked:
+                        apart = parts.first[a] != parts.first[b]
+                        a, b, p = a[apart], b[apart], p[apart]
                     for i in np.unique(p).tolist():
                         if i not in known:
                             known[i] = _ratio(texts.texts[x[i]], texts.texts[y[i]])
                     ratio = np.array([known[i] for i in p.tolist()], float)
                     good = ratio >= self.sequence
-                    yield self._out(key, a[good], b[good], tokens[p[good]], alike[p[good]], pa.array(ratio[good]))
+                    if self.linked:
+                        parts.join(a[good], b[good])
+                    else:
+                        yield self._out(key, a[good], b[good], tokens[p[good]], alike[p[good]], pa.array(ratio[good]))
+        if self.linked:
+            a = np.flatnonzero(parts.first != np.arange(len(time)))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(parts.first[a]))], names=["a", "b"])
 
     def _rows(self, sides: list, x: np.ndarray, y: np.ndarray, time: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The pairs of rows of pairs of texts, with the number of the latter."""

@@ -235,6 +235,52 @@ def test_candidate_pairs_of_headlines_are_not_written(spark, monkeypatch):
     assert max(sizes) == 200
 
 
+@pytest.mark.parametrize("sequence", [0.86, 1.01])
+@pytest.mark.parametrize("block", [1 << 15, 9])
+def test_linked_edges_give_the_groups_of_all_pairs(spark, monkeypatch, block, sequence):
+    import random
+
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    rng, hour = random.Random(5), 3_600_000_000
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(70)]
+    base = [rng.choices(words, k=rng.randint(3, 12)) for _ in range(30)]
+    rows = []
+    for i in range(260):
+        h = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(len(h))
+            h[k] = rng.choice([rng.choice(words), h[k][:-1] + "q"])
+        rows.append((f"k{i}", rng.choice([-73, -72, -1, 0, 3, 71, 72, 143, 144, 145, 217, 500]) * hour + rng.choice([0, 0, 1]), " ".join(h)))
+    want = {f"k{i}": f"k{i}" for i in range(260)}
+    for a, b in _brute_edges(rows, sequence, 0.78, 72 * hour):
+        old, new = want[a], want[b]
+        want = {k: new if v == old else v for k, v in want.items()}
+    df = spark.createDataFrame(rows, "id string, at bigint, headline string")
+    edges = grouping.similar_edges(df, "id", "at", sequence=sequence, linked=True)
+    got = {f"k{i}": f"k{i}" for i in range(260)} | {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
+    alike = lambda of: {frozenset(k for k in of if of[k] == v) for v in of.values()}
+    assert alike(got) == alike(want) and len(alike(want)) < 200
+
+
+def test_pairs_of_a_repeated_headline_are_not_written(spark, monkeypatch):
+    """Each row is similar to all others: 400 rows have 79,800 pairs but need 399 links."""
+    from barlight.operators import components
+
+    rows = [(i, "direct", "router deal doubles licences again" + " twice" * (i % 2), "", f"u{i}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "article_id bigint, relevance_type string, headline string, summary string, normalized_url string, at bigint").withColumns({"excluded": F.lit("false"), "published_at_utc": F.col("at").cast("string")})
+    sizes, plain = [], components.written
+
+    def written(table, label="step"):
+        out = plain(table, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", written)
+    got = grouping.event_groups(df, "article_id", "at", sequence=1.01)
+    assert got.where("event_group_size = 400 and representative_id = 0").count() == 400
+    assert max(sizes) < 400
+
+
 def test_rules(spark):
     r = rules.DEFAULT
     rows = [
